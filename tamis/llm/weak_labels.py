@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from .store import materialise, table
 
 SYMBOLS = "#*$%&|<>{}[]=\\^~"
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-LABELLERS = ("capitals", "symbols", "exclaims", "repeats", "ends", "length", "letters")
+LABELLERS = ("capitals", "symbols", "exclaims", "adjacent", "variety", "length", "letters")
 GOOD, BAD, NONE = 1, 0, 2
 DIM = 1 << 12
 BINNED = 8
@@ -34,14 +36,13 @@ BINNED = 8
 def rates(text: str) -> dict[str, float]:
     words = text.split()
     n, chars = max(len(words), 1), max(len(text), 1)
-    raw = text.encode("utf-8", "replace")
     return {
         "words": len(words),
         "capitals": sum(map(len, UPPER.findall(text))) / chars,
         "symbols": sum(map(text.count, SYMBOLS)) / n,
         "exclaims": (text.count("!") + text.count("?")) / n,
-        "repeats": len(zlib.compress(raw, 1)) / max(len(raw), 1),
-        "ends": (text.count(". ") + text.count(".\n") + text.endswith(".")) / n,
+        "variety": len(set(words)) / n,
+        "adjacent": sum(map(eq, words, islice(words, 1, None))) / n,
         "length": chars / n,
         "letters": (chars - sum(map(text.count, SYMBOLS + "0123456789!?.,:;"))) / chars,
     }
@@ -50,18 +51,17 @@ def rates(text: str) -> dict[str, float]:
 def votes(r: dict[str, float]) -> list[int]:
     """One vote per labeller. A labeller says nothing where its evidence is in between."""
 
-    def between(x: float, good: bool, bad: bool) -> int:
+    def between(good: bool, bad: bool) -> int:
         return GOOD if good else BAD if bad else NONE
 
-    short = r["words"] < 30
     return [
-        between(0, r["capitals"] < 0.15, r["capitals"] > 0.4),
-        between(0, r["symbols"] < 0.12, r["symbols"] > 0.5),
-        between(0, r["exclaims"] < 0.1, r["exclaims"] > 0.4),
-        NONE if short else between(0, r["repeats"] > 0.3, r["repeats"] < 0.12),
-        NONE if short else between(0, 0.01 < r["ends"] < 0.4, r["ends"] < 0.002),
-        between(0, 3.5 < r["length"] < 10, r["length"] > 16 or r["length"] < 2.5),
-        between(0, r["letters"] > 0.93, r["letters"] < 0.8),
+        between(r["capitals"] < 0.15, r["capitals"] > 0.4),
+        between(r["symbols"] < 0.08, r["symbols"] > 0.2),
+        between(r["exclaims"] < 0.08, r["exclaims"] > 0.3),
+        between(r["adjacent"] < 0.05, r["adjacent"] > 0.3),
+        between(r["variety"] > 0.4 or r["words"] < 30, r["variety"] < 0.12 * (1 if r["words"] < 1000 else 0.5)),
+        between(3.5 < r["length"] < 10, r["length"] > 16 or r["length"] < 2.5),
+        between(r["letters"] > 0.93, r["letters"] < 0.8),
     ]
 
 
@@ -106,18 +106,21 @@ class _Shapes(dict):
         return v
 
 
-def em(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
+def em(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 100, false_alarms: float = 0.001) -> tuple[dict[int, float], np.ndarray, float]:
     """(posterior of good by pattern, P(vote | class) as [class, labeller, vote], share of good rows)."""
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     v = np.array([[p // 3**k % 3 for k in range(labellers)] for p in patterns])
-    hot = np.eye(3)[v]  # pattern, labeller, vote
-    good = np.where((v == GOOD).sum(1) > 2 * (v == BAD).sum(1), 0.9, 0.1)  # start: a clear majority of good votes
-    share, table_ = 0.8, np.zeros((2, labellers, 3))
+    hot = np.eye(3)[v][:, :, :2]  # pattern, labeller, vote; a labeller that says nothing says nothing of the class
+    good = np.where((v == BAD).sum(1) == 0, 0.9, 0.1)  # start: nothing speaks against the text
+    share, table_ = 0.8, np.zeros((2, labellers, 2))
     for _ in range(rounds):
         for c, weight in ((1, good), (0, 1 - good)):
-            sums = np.einsum("p,pjv->jv", n * weight, hot) + np.array([0.2, 0.2, 0.2]) + (np.array([0.1, 2.0, 0.0]) if c else np.array([2.0, 0.1, 0.0]))
+            sums = np.einsum("p,pjv->jv", n * weight, hot) + (np.array([0.2, 4.0]) if c else np.array([4.0, 2.0]))
             table_[c] = sums / sums.sum(1, keepdims=True)
+        # labellers are made to be precise: one that alone finds a kind of bad text isn't taken to be wrong about it
+        table_[1][:, BAD] = np.minimum(table_[1][:, BAD], false_alarms)
+        table_[1][:, GOOD] = 1 - table_[1][:, BAD]
         share = float(np.clip((n * good).sum() / max(n.sum(), 1), 0.02, 0.98))
         score = np.log(share / (1 - share)) + np.einsum("pjv,jv->p", hot, np.log(table_[1] / table_[0]))
         new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
