@@ -47,10 +47,10 @@ with recursive w as (
 ), n as (
   select doc_id, count(*)::bigint as n from g group by doc_id
 ), p as (
-  select a.doc_id as a, b.doc_id as b, count(*) as both
+  select a.doc_id as a, b.doc_id as b, count(*) as shared
   from g a join g b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
 ), e as (
-  select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * both >= 80 * (x.n + y.n - both)
+  select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * shared >= 80 * (x.n + y.n - shared)
 ), u as (
   select a, b from e union select b, a from e
 ), reach as (
