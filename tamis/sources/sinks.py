@@ -1,0 +1,72 @@
+"""Reports: JSON, Markdown and HTML, masked unless told otherwise. A report is read by people: the driver gets summaries and
+at most `limit` files; whole results are tables (`write_tables`)."""
+
+from __future__ import annotations
+
+import html
+import json
+import os
+import re
+import tempfile
+from datetime import datetime
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.masks import mask_value, pretty_type
+from ..operators import findings as fd
+
+
+def write_tables(results: DataFrame, folder: str, id_column: str = "doc_id") -> None:
+    fd.explode_findings(results, id_column).write.mode("overwrite").parquet(f"{folder}/findings")
+    fd.file_scores(results, id_column).write.mode("overwrite").parquet(f"{folder}/file_scores")
+
+
+def report(results: DataFrame, limit: int = 1000, masked: bool = True, id_column: str = "doc_id") -> dict:
+    scores = fd.file_scores(results, id_column)
+    worst = fd.top_files(scores, limit, id_column)
+    rows = results.join(worst.select(id_column, "score", "band"), id_column)
+    value = lambda x: mask_value(x["value"], x["category"]) if masked else x["value"]
+    rows = rows.select(F.col(id_column).cast("string").alias("file"), "score", "band", F.transform("findings", lambda x: F.struct(x["category"].alias("category"), value(x).alias("value"), x["confidence"].alias("confidence"), x["source"].alias("source"), x["risk_level"].alias("risk_level"))).alias("findings"))
+    return {
+        "generated": datetime.now().isoformat(timespec="seconds"),
+        "summary": fd.scan_summary(scores).first().asDict(),
+        "files": [r.asDict(recursive=True) for r in rows.orderBy(F.desc("score"), "file").collect()],
+    }
+
+
+def to_markdown(data: dict) -> str:
+    out = ["# Scan report", "", f"Generated {data['generated']}", "", "| measure | files |", "|-|-|", *(f"| {k} | {v} |" for k, v in data["summary"].items()), "", "| file | score | band | findings |", "|-|-|-|-|"]
+    out += [f"| {f['file']} | {f['score']} | {f['band']} | {len(f['findings'])} |" for f in data["files"]]
+    for f in data["files"]:
+        out += ["", f"## {f['file']}", "", *(f"- {x['category']}: `{x['value']}` ({x['risk_level']}, {x['confidence']:.2f}, {x['source']})" for x in f["findings"])]
+    return "\n".join(out) + "\n"
+
+
+def to_html(data: dict) -> str:
+    e = lambda x: html.escape(str(x))
+    rows = "".join(f"<tr><td>{e(f['file'])}</td><td>{e(f['score'])}</td><td>{e(f['band'])}</td><td><ul>{''.join(f'<li>{e(x['category'])}: {e(x['value'])} ({e(x['risk_level'])})</li>' for x in f['findings'])}</ul></td></tr>" for f in data["files"])
+    facts = "".join(f"<li>{e(k)}: {e(v)}</li>" for k, v in data["summary"].items())
+    return f"<!doctype html><meta charset=utf-8><title>Scan report</title><h1>Scan report</h1><p>{e(data['generated'])}<ul>{facts}</ul><table border=1><tr><th>file<th>score<th>band<th>findings</tr>{rows}</table>\n"
+
+
+def write_reports(results: DataFrame, folder: str, name: str = "scan", **options) -> dict[str, str]:
+    """Writes the three reports and the latest.html beside them; returns their paths."""
+    data = report(results, **options)
+    stem = f"report_{datetime.now():%Y%m%d_%H%M%S}_{re.sub('[^A-Za-z0-9]+', '-', name).strip('-')[:40]}"
+    os.makedirs(folder, mode=0o700, exist_ok=True)
+    paths = {}
+    for kind, text in (("json", json.dumps(data, indent=1, default=str)), ("md", to_markdown(data)), ("html", to_html(data))):
+        path, k = Path(folder, f"{stem}.{kind}"), 1
+        while path.exists():
+            path, k = Path(folder, f"{stem}_{k}.{kind}"), k + 1
+        path.write_text(text, encoding="utf-8")
+        paths[kind] = str(path)
+    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as f:
+        f.write(to_html(data))
+    os.replace(f.name, Path(folder, "latest.html"))
+    return paths
+
+
+__all__ = ["report", "to_html", "to_markdown", "write_reports", "write_tables", "pretty_type"]
