@@ -115,11 +115,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     others = placed.where("node <> hub").select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), (F.col("label") != F.col("hub_label")).alias("apart"))
     # two that are both apart from the hub are named once, in order
     rest = apart.join(others, "key").where("label_a <> label_b and (not apart or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(likely(rest, classes, percent, bands * rows), docs, width, percent)
-    if more.isEmpty():
-        final = labels
-    else:
-        final = materialise(components(links.unionAll(more)), "near-labels")
+    rest = materialise(rest, "near-rest")
+    final = labels
+    if not rest.isEmpty():
+        more = confirmed(likely(rest, classes, percent, bands * rows), docs, width, percent)
+        if not more.isEmpty():
+            final = materialise(components(links.unionAll(more)), "near-labels")
 
     named = classes.join(final, "node", "left").select(F.col("print").alias("of_print"), F.coalesce("label", "node").alias("component"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "print").join(named, F.col("print") == F.col("of_print"), "left")
