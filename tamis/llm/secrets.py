@@ -73,8 +73,8 @@ def scan_new(versions: DataFrame, ledger: str, rules=None, version: str | None =
     spark, version = versions.sparkSession, version or rule_version(rules)
     seen = read_ledger(spark, ledger).where(F.col("rule_version") == version).select("blob_id")
     contents = versions.select(blob_id(F.col(text)).alias("blob_id"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    # copies meet in the map-side part of the aggregate; then each unseen content is scanned once
-    unseen = contents.join(seen, "blob_id", "left_anti").groupBy("blob_id").agg(F.first("content").alias("content"))
+    # copies meet in the map-side part of the aggregate, before anything is dealt by blob; the ledger's pairs leave afterwards
+    unseen = contents.groupBy("blob_id").agg(F.first("content").alias("content")).join(seen, "blob_id", "left_anti")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = scanner(rules)
