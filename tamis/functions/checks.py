@@ -13,12 +13,12 @@ def digits(value: Column) -> Column:
 def luhn(value: Column, least: int = 13) -> Column:
     """Numbers of at least `least` digits with a right check digit; texts of over 38 characters aren't looked at."""
     d = digits(value)
-    return F.coalesce((F.char_length(value) <= 38) & (F.length(d) >= least) & F.luhn_check(d), F.lit(False))
+    return F.coalesce((F.char_length(value) <= 38) & (F.length(d) >= least) & F.call_function("luhn_check", d), F.lit(False))
 
 
 def valid_sin(value: Column) -> Column:
     d = digits(value)
-    return F.coalesce((F.length(d) == 9) & ~F.substring(d, 1, 1).isin("0", "8") & F.luhn_check(d), F.lit(False))
+    return F.coalesce((F.length(d) == 9) & ~F.substring(d, 1, 1).isin("0", "8") & F.call_function("luhn_check", d), F.lit(False))
 
 
 def valid_ssn(value: Column) -> Column:
@@ -30,7 +30,7 @@ def valid_ssn(value: Column) -> Column:
 def valid_ohip(value: Column) -> Column:
     """Ontario's rule is Luhn's on ten digits, without a leading 0."""
     d = digits(value)
-    return F.coalesce((F.length(d) == 10) & ~d.startswith("0") & F.luhn_check(d), F.lit(False))
+    return F.coalesce((F.length(d) == 10) & ~d.startswith("0") & F.call_function("luhn_check", d), F.lit(False))
 
 
 def valid_bc_phn(value: Column) -> Column:

@@ -192,7 +192,11 @@ def explode_findings(results: DataFrame, id_column: str = "doc_id") -> DataFrame
 def with_metadata(results: DataFrame, layers=None) -> DataFrame:
     """results with the record of how each document was scanned."""
     chosen = selected(layers)
-    counts = F.map_from_arrays(F.array(*[F.lit(x) for x in dims.LAYERS]), F.array(*[F.size(F.filter("findings", lambda x, n=n: x["source"] == n)) for n in dims.LAYERS]))
+
+    def of(name: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["source"] == name))
+
+    counts = F.map_from_arrays(F.array(*[F.lit(x) for x in dims.LAYERS]), F.array(*[of(name) for name in dims.LAYERS]))
     return (
         results.withColumn("layers_used", F.array_except(F.array(*[F.lit(x) for x in dims.LAYERS if x in chosen]).cast("array<string>"), F.col("failed_layers")))
         .withColumn("disabled_layers", F.array(*[F.lit(x) for x in dims.LAYERS if x not in chosen]).cast("array<string>"))
