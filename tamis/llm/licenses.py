@@ -1,6 +1,6 @@
 """License scans by sentences: normalised sentences get identifiers, and sequences of identifiers match ordered rules.
 
-A text is cut into sentences at line ends and after full stops. A normalised sentence is its letters and digits in lower case
+A text is cut into sentences at line ends, and after full stops and colons before white space. A normalised sentence is its letters and digits in lower case
 with single spaces, so that marks between words and a change of case don't matter. Known sentences come from the notices
 below. A rule is an ordered sequence of identifiers; it matches where its identifiers follow each other in order with at most `gap` other
 sentences between two of them, and at least `cover` of them present, the first included. Of overlapping matches, the one
@@ -80,7 +80,7 @@ NOTICES: dict[str, list[list[str]]] = {
 }
 
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?:[^.\n]|\.(?!\s|$))+\.?", re.MULTILINE)
+_SENTENCE = re.compile(r"(?:[^.:\n]|[.:](?!\s|$))+[.:]?", re.MULTILINE)
 
 
 def normalised(sentence: str) -> str:
