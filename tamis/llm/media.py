@@ -11,6 +11,7 @@ as many rows as Arrow gives it; very long texts are coded in blocks of frames.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ def clips(media: DataFrame, id_column: str = "id", bytes_column: str = "media")
                     files, micros = mjpeg.read_avi(bytes(data or b""))
                     for k, (first, end) in enumerate(mjpeg.shots(mjpeg.decode_frames(files))):
                         rows.append((key, k, first * micros / 1000, end * micros / 1000, first, end - first, None))
-                except (ValueError, IndexError, OverflowError) as e:
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
                     rows.append((key, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["id", "clip", "start_ms", "end_ms", "first_frame", "n_frames", "error"]).astype({"id": "Int64", "clip": "Int32", "first_frame": "Int32", "n_frames": "Int32"})
 

@@ -110,7 +110,7 @@ def em(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 10
     """(posterior of good by pattern, P(vote | class) as [class, labeller, vote], share of good rows)."""
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    v = np.array([[p // 3**k % 3 for k in range(labellers)] for p in patterns])
+    v = np.array([[p // 3**k % 3 for k in range(labellers)] for p in patterns], dtype=int).reshape(len(patterns), labellers)
     hot = np.eye(3)[v][:, :, :2]  # pattern, labeller, vote; a labeller that says nothing says nothing of the class
     good = np.where((v == BAD).sum(1) == 0, 0.9, 0.1)  # start: nothing speaks against the text
     share, table_ = 0.8, np.zeros((2, labellers, 2))
