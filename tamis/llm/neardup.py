@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,29 +34,34 @@ SETS = "doc_id long, n long, print binary, bands array<long>, bytes binary"
 
 
 def shingle_sets(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketcher = sketch.Shingler(width), sketch.Sketcher(bands * rows)
         for b in batches:
-            out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                s = shingler.of(text)
+            bins, sizes, prints = [], [], []
+            for s in shingler.of(b.column("text")):
+                sizes.append(len(s))
+                prints.append(sketch.fingerprint(s) if len(s) else None)
                 if len(s):
-                    bins = sketcher.of(s)
-                    out.append((doc_id, len(s), sketch.fingerprint(s), sketch.band_keys(bins, rows), sketch.one_byte(bins)))
-                else:
-                    out.append((doc_id, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "print", "bands", "bytes"]).astype({"doc_id": "Int64"})
+                    bins.append(sketcher.of(s))
+            bins = np.array(bins, np.uint64).reshape(-1, bands * rows)
+            full = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64) > 0)))
+            keys = pa.ListArray.from_arrays(pa.array(full * bands, pa.int32()), pa.array(sketch.band_keys(bins, rows).ravel()))
+            small = pa.py_buffer(sketch.one_byte(bins).tobytes())
+            small = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((full * bands * rows).astype(np.int32).tobytes()), small])
+            columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), keys, small]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "print", "bands", "bytes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of, SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, SETS)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = sketch.Shingler(width)
         for b in batches:
-            yield pd.DataFrame({"node": b["doc_id"], "shingles": [shingler.of(t).tobytes() for t in b["text"]]})
+            sets = [s.tobytes() for s in shingler.of(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return docs.mapInPandas(of, "node long, shingles binary")
+    return docs.mapInArrow(of, "node long, shingles binary")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, t: int) -> DataFrame:

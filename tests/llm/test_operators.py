@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -150,6 +151,27 @@ def test_components(spark):
     assert got == {k: 0 if k <= 20 else 21 for k in range(41)} | {100: 0, 200: 200, 201: 200, 202: 200}
 
 
+def test_shingles_equal_those_of_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abAB é\t\n\x0b"))
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 400, 200)] + [None, "", " \r\n", "a b", "b a", "a b c", "A B C", "x" * 900 + " y z w"]
+
+    def of_words(text):
+        w = tuple((text or "").encode().lower().split())
+        return {w[i : i + 4] for i in range(len(w) - 3)} if len(w) > 3 else {w} if w else set()
+
+    whole = list(sketch.Shingler(4).of(pa.array(["left out", *texts]).slice(1)))
+    monkeypatch.setattr(sketch, "BLOCK", 64)
+    parts = list(sketch.Shingler(4).of(pa.array(texts)))
+    known = {}
+    for text, a, b in zip(texts, whole, parts, strict=True):
+        expected = of_words(text)
+        assert len(a) == len(expected) and np.array_equal(a, b)
+        if len(expected) == 1:
+            assert known.setdefault(int(a[0]), expected) == expected
+    assert len(known) == len({x for t in texts for x in of_words(t) if len(of_words(t)) == 1})
+
+
 def test_sketch_is_concentrated():
     rng, sketcher = np.random.default_rng(5), sketch.Sketcher(240)
     for n in (1, 3, 50, 2000):
