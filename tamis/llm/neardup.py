@@ -30,6 +30,8 @@ from . import sketch
 from .components import components
 from .store import materialise, table
 
+#: Words of 64 marks in the table by which rows are sieved before a shuffle. It is broadcast: at most so many rows of two numbers.
+MARKS = 1 << 19
 SETS = "doc_id long, n long, print binary, bands array<long>, bytes binary"
 
 
@@ -64,6 +66,14 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(of, "node long, shingles binary")
 
 
+def sieved(df: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """The rows of df whose key is in nodes(node), and a few others, without a shuffle of df. The table of marks has a bound
+    whatever the number of nodes; the fuller it is, the more others pass. A join on the key leaves the right rows."""
+    at, mark = (lambda c: F.expr(f"pmod(shiftright(xxhash64({c}), 6), {MARKS}L)")), (lambda c: F.expr(f"shiftleft(1L, int(xxhash64({c}) & 63))"))
+    marks = nodes.select(at("node").alias("_at"), mark("node").alias("_mark")).groupBy("_at").agg(F.bit_or("_mark").alias("_marks"))
+    return df.join(F.broadcast(marks), at(key) == F.col("_at")).where(F.col("_marks").bitwiseAND(mark(key)) != 0).select(*df.columns)
+
+
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, t: int) -> DataFrame:
     """Pairs whose sketches don't rule the threshold out. Bytes of unequal coordinates agree once in 256 times."""
     low = max(0.0, percent / 100 - 8 * np.sqrt(percent / 100 * (1 - percent / 100) / t))
@@ -74,16 +84,22 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, t: int) -> DataFr
                 x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), t) for c in ("bytes_a", "bytes_b"))
                 yield b.loc[(x == y).mean(axis=1) >= low, ["a", "b"]]
 
+    classes = sieved(classes, "node", ends(pairs))
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bytes").alias(f"bytes_{c}"))
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "bytes_a", "bytes_b").mapInPandas(of, "a long, b long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
     pairs = materialise(pairs, "near-likely")
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(nodes, "doc_id", "left_semi")
+    nodes = ends(pairs)
+    texts = sieved(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", nodes)
+    texts = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = materialise(full_sets(texts, width).dropDuplicates(["node"]), "near-sets")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,6 +126,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     # only rows of buckets with company go on
     buckets = materialise(keyed.join(hubs, "key"), "near-buckets")
     first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = materialise(first, "near-first")
     links = confirmed(likely(first, classes, percent, bands * rows), docs, width, percent)
 
     labels = materialise(components(links), "near-labels")
