@@ -1,13 +1,15 @@
 """MinHash near-duplicates: fast similarity sketches, banding, and exact verification on full shingle sets.
 
 1. One pass over the texts gives each document its set's size, a fingerprint of the whole set, and a sketch.
-2. Documents with equal sets are one class, kept by the smallest doc_id. Later steps work on classes.
+2. Documents with equal sets are one class, named by the smallest doc_id. Later steps work on classes.
 3. Classes that agree in a band are candidates. In each bucket all are compared with the bucket's smallest member, which
-   joins most of a large group with as many comparisons as it has members. After components are known, buckets that still
-   hold several components have their remaining pairs of different components compared, so that no pair of a bucket is left
-   out and none is compared that lies in one component already. Buckets have no cap.
-4. A pair is dropped when its sizes or sketches rule the threshold out (by eight standard deviations), and else confirmed on
-   full sets, which are made again from the texts of candidates alone.
+   joins most of a large group with as many comparisons as it has members. Such a pair is dropped when its sizes or sketches
+   rule the threshold out (by eight standard deviations), and else confirmed on full sets.
+4. After components are known, members of buckets that still hold several components are compared across components. Two
+   sets at the threshold share a shingle among each one's rarest fifth or so (in any order that all sets use, here rarest
+   among these members first), so that pairs are met at those shingles alone and none at the threshold is left out; they are
+   confirmed on full sets too. A group of texts that are near 0.6 to 0.8 alike thus doesn't make the square of its size of
+   pairs, as long as what sets its texts apart is theirs alone. Buckets have no cap.
 
 With 40 bands of 6 rows, a pair at the threshold of 0.8 is missed with probability 6e-6.
 
@@ -32,6 +34,8 @@ from .store import materialise, table
 
 #: Words of 64 marks in the table by which rows are sieved before a shuffle. It is broadcast: at most so many rows of two numbers.
 MARKS = 1 << 19
+#: The table of how often shingles occur has 2 ** COUNTED entries, by a shingle's first bits; it only orders them.
+COUNTED = 20
 SETS = "doc_id long, n long, print binary, bands array<long>, bytes binary"
 
 
@@ -74,7 +78,7 @@ def sieved(df: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
     return df.join(F.broadcast(marks), at(key) == F.col("_at")).where(F.col("_marks").bitwiseAND(mark(key)) != 0).select(*df.columns)
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int, t: int) -> DataFrame:
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int, t: int) -> DataFrame:
     """Pairs whose sketches don't rule the threshold out. Bytes of unequal coordinates agree once in 256 times."""
     low = max(0.0, percent / 100 - 8 * np.sqrt(percent / 100 * (1 - percent / 100) / t))
 
@@ -84,8 +88,8 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, t: int) -> DataFr
                 x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), t) for c in ("bytes_a", "bytes_b"))
                 yield b.loc[(x == y).mean(axis=1) >= low, ["a", "b"]]
 
-    classes = sieved(classes, "node", ends(pairs))
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bytes").alias(f"bytes_{c}"))
+    own = sieved(sketches.select(F.col("doc_id").alias("node"), "n", "bytes").where("n > 0"), "node", ends(pairs)).dropDuplicates(["node"])
+    side = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bytes").alias(f"bytes_{c}"))
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "bytes_a", "bytes_b").mapInPandas(of, "a long, b long")
 
@@ -94,13 +98,14 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
-    pairs = materialise(pairs, "near-likely")
-    nodes = ends(pairs)
+def sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, shingles: one full set for each of nodes(node), and for a few other documents."""
     texts = sieved(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", nodes)
-    texts = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = materialise(full_sets(texts, width).dropDuplicates(["node"]), "near-sets")
+    return full_sets(texts, width).dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,38 +120,82 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(of, "a long, b long"), "near-links")
 
 
+def occurrences(sets: DataFrame) -> np.ndarray:
+    """How many shingles of sets begin with each run of COUNTED bits; a table of that size, whatever the number of sets."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << COUNTED, np.int64)
+        for b in batches:
+            for s in b.column("shingles").to_pylist():
+                np.add.at(seen, np.frombuffer(s, np.uint64) >> np.uint64(64 - COUNTED), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["at", "n"])
+
+    found = sets.select("shingles").mapInArrow(of, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTED, np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return np.minimum(counts, 2**31 - 1).astype(np.int32)
+
+
+def meetings(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with different labels that share one of their rarest shingles: all those at the threshold, and others."""
+    counts = occurrences(sets)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, places, tokens, rows = [], [], [], []
+            for row, s in enumerate(b.column("shingles").to_pylist()):
+                s = np.frombuffer(s, np.uint64)
+                seen = counts[s >> np.uint64(64 - COUNTED)]
+                rarest = np.lexsort((s, seen))[: len(s) + 1 + (-percent * len(s)) // 100]
+                at = np.flatnonzero(seen[rarest] > 1)  # what occurs once is met by no other set
+                places.append(at)
+                tokens.append(s[rarest[at]].view(np.int64))
+                sizes.append(np.full(len(at), len(s)))
+                rows.append(np.full(len(at), row))
+            if rows:
+                rows = pa.array(np.concatenate(rows), pa.int64())
+                numbers = [pa.array(np.concatenate(x), pa.int64()) for x in (sizes, places, tokens)]
+                yield pa.RecordBatch.from_arrays([b.column("node").take(rows), b.column("label").take(rows), *numbers], ["node", "label", "n", "at", "token"])
+
+    rare = sets.join(labels, "node").mapInArrow(of, "node long, label long, n long, at long, token long")
+    rare = materialise(rare, "near-rare")
+    side = lambda c: rare.select("token", *(F.col(k).alias(v) for k, v in (("node", c), ("label", f"label_{c}"), ("n", f"n_{c}"), ("at", f"at_{c}"))))
+    # a pair is met at the first shingle that it shares: no more can be shared than the shorter part from there on has
+    most = "least(n_a - at_a, n_b - at_b)"
+    fits = f"a < b and label_a <> label_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (100 + {percent}) * {most} >= {percent} * (n_a + n_b)"
+    return side("a").join(side("b"), "token").where(fits).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     sets = materialise(shingle_sets(docs, width, bands, rows), "near-sketches")
-    classes = sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
-    classes = materialise(classes, "near-classes")
-
-    keyed = classes.where("node is not null").select(F.explode("bands").alias("key"), "node")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    # only rows of buckets with company go on
-    buckets = materialise(keyed.join(hubs, "key"), "near-buckets")
+    classes = materialise(sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("node")), "near-classes")
+    named = classes.select("node").where("node is not null").distinct()
+
+    # a bucket's smallest member is always the name of its class; copies that pass the sieve go when few rows are left
+    keyed = sieved(sets.where("n > 0").select(F.col("doc_id").alias("node"), "bands"), "node", named).select(F.explode("bands").alias("key"), "node")
+    hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "near-hubs")
+    # only rows of buckets with company go on; an inner join, since the optimiser moves a semi-join below the sieve
+    buckets = sieved(keyed, "key", hubs.select(F.col("key").alias("node"))).join(hubs, "key").join(named, "node")
+    buckets = materialise(buckets, "near-buckets")
     first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialise(first, "near-first")
-    links = confirmed(likely(first, classes, percent, bands * rows), docs, width, percent)
+    first = materialise(likely(materialise(first, "near-first"), sets, percent, bands * rows), "near-likely")
+    links = confirmed(first, sets_of(ends(first), docs, width), percent)
 
-    labels = materialise(components(links), "near-labels")
-    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    placed = buckets.where("members > 2").join(labels, "node", "left").join(of_hub, "hub", "left")
-    placed = placed.select("key", "node", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    labels = final = materialise(components(links), "near-labels")
+    placed = buckets.where("members > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     placed = materialise(placed, "near-placed")
-    apart = placed.where("label <> hub_label").select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    others = placed.where("node <> hub").select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), (F.col("label") != F.col("hub_label")).alias("apart"))
-    # two that are both apart from the hub are named once, in order
-    rest = apart.join(others, "key").where("label_a <> label_b and (not apart or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialise(rest, "near-rest")
-    final = labels
-    if not rest.isEmpty():
-        more = confirmed(likely(rest, classes, percent, bands * rows), docs, width, percent)
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    mixed = materialise(placed.join(mixed, "key").select("node", "label").distinct(), "near-mixed")
+    if not mixed.isEmpty():
+        full = materialise(sets_of(mixed.select("node"), docs, width), "near-sets")
+        more = confirmed(materialise(meetings(full, mixed, percent), "near-rest"), full, percent)
         if not more.isEmpty():
             final = materialise(components(links.unionAll(more)), "near-labels")
 
-    named = classes.join(final, "node", "left").select(F.col("print").alias("of_print"), F.coalesce("label", "node").alias("component"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "print").join(named, F.col("print") == F.col("of_print"), "left")
+    parts = classes.join(final, "node", "left").select(F.col("print").alias("of_print"), F.coalesce("label", "node").alias("component"))
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "print").join(parts, F.col("print") == F.col("of_print"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -145,6 +145,28 @@ def test_neardup(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_meetings_keep_every_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    sets = []
+    for _ in range(6):
+        base = sketch.mix(rng.integers(0, 2**62, 90).astype(np.uint64))
+        for n in rng.integers(0, 40, 30):  # most are 0.5 to 0.9 alike
+            own = sketch.mix(rng.integers(0, 40 if n % 2 else 2**62, n).astype(np.uint64))
+            sets.append(np.unique(np.concatenate((rng.permutation(base)[: 90 - n // 2], own))))
+    label = [k // 7 for k in range(len(sets))]
+    want = set()
+    for b in range(len(sets)):
+        for a in range(b):
+            both = sketch.overlap(sets[a], sets[b])
+            if label[a] != label[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                want.add((a, b))
+    frame = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "node long, shingles binary")
+    labels = spark.createDataFrame(list(enumerate(label)), "node long, label long")
+    got = {(r["a"], r["b"]) for r in neardup.meetings(frame, labels, 80).collect()}
+    assert len(want) > 50 and want <= got
+    assert all(label[a] != label[b] for a, b in got)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40) if k != 20] + [(100, 3), (200, 201), (200, 202), (5, 5)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
