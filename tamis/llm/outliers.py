@@ -6,7 +6,8 @@ centre and scatter comes from concentration steps: the rows nearest to the prese
 one. A step is one aggregation: moments are summed per group and bin of the squared distance, and running totals over bins
 end at the nearest `share` of rows. Rows are rejected by their Mahalanobis distance.
 
-Nothing but sums per group and bin is shuffled, so that a group may hold any part of the rows.
+Rows meet their group's estimate by a broadcast where there are at most BROADCAST groups, and else by a salted join. Nothing
+but sums per group and bin is shuffled otherwise, so that a group may hold any part of the rows.
 
 Defined results: a null text is empty and fails the base rule; null languages and sources are groups of their own; groups
 of fewer than `least` rows are pooled by language, and languages of fewer than `least` such rows are pooled together;
@@ -26,6 +27,20 @@ from .store import WORD, materialise, table, text_or_empty
 
 X = ("x_symbols", "x_lines", "x_repeats", "x_capitals", "x_length")
 P = len(X)
+#: A table of groups is broadcast up to so many rows (of some 20 numbers); beyond, each is joined in SALTS parts.
+BROADCAST = 50_000
+SALTS = 64
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """rows with what the written table `groups` holds for their keys (null-safe), without a task for all rows of a group."""
+    other = groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), *(c for c in groups.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
+    if groups.count() <= BROADCAST:
+        return rows.join(F.broadcast(other), on).drop(*(f"g_{k}" for k in keys))
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    other = other.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(other, [*on, F.col("_salt") == F.col("_part")]).drop("_salt", "_part", *(f"g_{k}" for k in keys))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -101,8 +116,7 @@ def grouped(rows: DataFrame, least: int) -> DataFrame:
     sizes = sizes.withColumn("pooled", F.sum(F.when(small, F.col("n")).otherwise(0)).over(per_lang))
     key = F.when(~small, F.to_json(F.struct(F.lit("s").alias("k"), "lang", "source")))
     key = key.when(F.col("pooled") >= least, F.to_json(F.struct(F.lit("l").alias("k"), "lang"))).otherwise(F.lit("rest"))
-    keys = sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), key.alias("g"))
-    return rows.join(keys, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source")
+    return with_groups(rows, materialise(sizes.select("lang", "source", key.alias("g")), "quality-groups"), "lang", "source")
 
 
 def factored(centres: DataFrame, floor: float, scale: float) -> DataFrame:
@@ -119,7 +133,7 @@ def factored(centres: DataFrame, floor: float, scale: float) -> DataFrame:
 
 def distances(rows: DataFrame, fits: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their group's estimate."""
-    out = rows.join(fits, "g")
+    out = with_groups(rows, fits, "g")
     for i in range(P):
         y = F.col(X[i]) - F.col(f"m{i}")
         for j in range(i):
@@ -163,7 +177,7 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 3, floor: float = 0.0
     """The groups' estimates, started from medians and median deviations."""
     middle = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(X)])
     middle = materialise(middle, "mcd-median")
-    off = rows.join(middle, "g").groupBy("g").agg(
+    off = with_groups(rows, middle, "g").groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)],
         *[(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5) * 1.4826).alias(f"d{i}") for i, x in enumerate(X)],
     )

@@ -145,6 +145,17 @@ def test_neardup(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_groups_by_broadcast_or_salted(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "a" if k % 3 else None, k % 2) for k in range(200)], "x long, lang string, source long")
+    groups = spark.createDataFrame([(lang, s, f"{lang}{s}") for lang in ("a", None) for s in (0, 1)], "lang string, source long, g string")
+    want = {(k, f"{'a' if k % 3 else None}{k % 2}") for k in range(200)}
+    for most in (4, 3):
+        monkeypatch.setattr(outliers, "BROADCAST", most)
+        got = outliers.with_groups(rows, groups, "lang", "source")
+        assert got.columns == ["x", "lang", "source", "g"]
+        assert sorted((r["x"], r["g"]) for r in got.collect()) == sorted(want)
+
+
 def test_meetings_keep_every_pair_at_the_threshold(spark):
     rng = np.random.default_rng(11)
     sets = []
