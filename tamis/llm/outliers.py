@@ -11,8 +11,10 @@ but sums per group and bin is shuffled otherwise, so that a group may hold any p
 
 Defined results: a null text is empty and fails the base rule; null languages and sources are groups of their own; groups
 of fewer than `least` rows are pooled by language, and languages of fewer than `least` such rows are pooled together;
-an empty table gives an empty result. `floor` is added to each variance, so that a rate that is 0 in most rows of a group
-doesn't reject the rest.
+an empty table gives an empty result. `floor` is added to the variances, one number for all or one for each variable. The
+rates of rare events are 0 in most rows of a group, whose own variance is then 0 too; their floor is the scatter of a few
+events in a text, so that these don't reject the rest. Capitals and word lengths vary in every group; their floors are well
+below the groups' own variances and only keep a group of equal texts from a variance of 0.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .store import WORD, materialise, table, text_or_empty
 
 X = ("x_symbols", "x_lines", "x_repeats", "x_capitals", "x_length")
 P = len(X)
+#: Added to the variances of X.
+FLOOR = (0.01, 0.01, 0.01, 1e-5, 1e-4)
 #: A table of groups is broadcast up to so many rows (of some 20 numbers); beyond, each is joined in SALTS parts.
 BROADCAST = 50_000
 SALTS = 64
@@ -119,15 +123,15 @@ def grouped(rows: DataFrame, least: int) -> DataFrame:
     return with_groups(rows, materialise(sizes.select("lang", "source", key.alias("g")), "quality-groups"), "lang", "source")
 
 
-def factored(centres: DataFrame, floor: float, scale: float) -> DataFrame:
+def factored(centres: DataFrame, floor: float | tuple[float, ...], scale: float) -> DataFrame:
     """From means m_i and covariances c_ij: g, m_i and the Cholesky factor l_ij of scale x covariance + floor."""
-    out = centres
+    out, floors = centres, floor if isinstance(floor, tuple) else (floor,) * P
     for i in range(P):
         for j in range(i + 1):
-            rest = F.col(f"c{j}{i}") * scale + (floor if i == j else 0.0)
+            rest = F.col(f"c{j}{i}") * scale + (floors[i] if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor / 100))) if i == j else rest / F.col(f"l{j}{j}"))
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] / 100))) if i == j else rest / F.col(f"l{j}{j}"))
     return out.select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
 
 
@@ -173,7 +177,7 @@ def chi2_quantile(p: float, k: int) -> float:
     return low
 
 
-def mcd(rows: DataFrame, share: float = 0.75, steps: int = 3, floor: float = 0.01) -> DataFrame:
+def mcd(rows: DataFrame, share: float = 0.75, steps: int = 3, floor: float | tuple[float, ...] = FLOOR) -> DataFrame:
     """The groups' estimates, started from medians and median deviations."""
     middle = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(X)])
     middle = materialise(middle, "mcd-median")
@@ -190,7 +194,7 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 3, floor: float = 0.0
     return fits
 
 
-def quality_rules(docs: DataFrame, least: int = 200, share: float = 0.75, steps: int = 3, tail: float = 1e-9, floor: float = 0.01) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = 200, share: float = 0.75, steps: int = 3, tail: float = 1e-3, floor: float | tuple[float, ...] = FLOOR) -> DataFrame:
     """doc_id, the base columns, base_failed, d2 (to the group's estimate) and kept: not failed, and d2 within the chi-square tail."""
     counts = materialise(base_counts(docs), "quality-counts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

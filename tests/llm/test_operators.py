@@ -404,3 +404,16 @@ def test_mcd_withstands_outliers(spark):
     cut = outliers.chi2_quantile(1 - 1e-6, outliers.P)
     assert (d2 > cut).sum() == 300
     assert abs(outliers.chi2_cdf(outliers.chi2_quantile(0.975, 5), 5) - 0.975) < 1e-9
+
+
+def test_outliers_by_production_defaults(spark):
+    rng = np.random.default_rng(12)
+    text = lambda k, own: " ".join("".join(rng.choice(list("abcdefgh"), own + int(rng.integers(0, 5)))) for _ in range(80 + k % 40)).capitalize()
+    good = [text(k, 3) for k in range(400)]
+    # longer words than the group's, and a capital in most words: neither fails the base rule
+    bad = [text(k, 5) for k in range(10)] + [text(k, 3).title() for k in range(10)]
+    d = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(good + bad)], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in outliers.quality_rules(d).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert sum(out[k]["kept"] for k in range(400)) >= 390
+    assert not any(out[k]["kept"] for k in range(400, 420))
