@@ -1,7 +1,10 @@
 """License scans by sentences: normalised sentences get identifiers, and sequences of identifiers match ordered rules.
 
-A text is cut into sentences at line ends, and after full stops and colons before white space. A normalised sentence is its letters and digits in lower case
-with single spaces, so that marks between words and a change of case don't matter. Known sentences come from the notices
+A text is cut into pieces at line ends, and after full stops and colons before white space. A known sentence is a run of
+pieces: wrapped lines are joined, whatever comment leaders, banners of marks, indentation and blank lines stand between, and of several
+known sentences that start at a piece the longest is taken. A normalised sentence is its letters and digits in lower case
+with single spaces, so that marks between words and a change of case don't matter; a word that is hyphenated at a line end isn't joined.
+Between known sentences, pieces count as one sentence up to a full stop, a colon or a blank line. Known sentences come from the notices
 below. A rule is an ordered sequence of identifiers; it matches where its identifiers follow each other in order with at most `gap` other
 sentences between two of them, and at least `cover` of them present, the first included. Of overlapping matches, the one
 with more sentences stays, then the one that starts first.
@@ -80,6 +83,8 @@ NOTICES: dict[str, list[list[str]]] = {
 }
 
 _WORD = re.compile(r"[^\W_]+")
+#: Comment leaders that are words; all others are marks.
+_LEADER = re.compile(r"[^\S\n]*(?:dnl|rem)\b", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?:[^.:\n]|[.:](?!\s|$))+[.:]?", re.MULTILINE)
 
 
@@ -88,7 +93,7 @@ def normalised(sentence: str) -> str:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of a text's sentences that have a word."""
+    """Spans of a text's pieces."""
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
@@ -105,18 +110,38 @@ class Rules:
         self.starting: dict[int, list[int]] = {}
         for k, (_, seq) in enumerate(self.rules):
             self.starting.setdefault(seq[0], []).append(k)
-        # the first two words of known sentences: others needn't be normalised to their end
-        self.heads = {tuple(s.split()[:2]) for s in self.ids}
+        # by first word: others needn't be normalised
+        self.heads: dict[str, list[str]] = {}
+        for known in self.ids:
+            self.heads.setdefault(known.split(" ", 1)[0], []).append(known + " ")
 
     def known(self, text: str) -> list[tuple[int, int, int, int]]:
         """(number of the sentence, identifier, start, end) of a text's known sentences."""
-        found = []
-        for n, (a, b) in enumerate(sentences(text)):
-            head = tuple(_WORD.findall(text[a : a + 80].lower())[:2])
-            if head in self.heads:
-                k = self.ids.get(normalised(text[a:b]))
-                if k is not None:
-                    found.append((n, k, a, b))
+        pieces, n, ended, last = [], -1, True, 0
+        for a, b in sentences(text):
+            ended = ended or "\n" in text[last + 1 : a]
+            start = _LEADER.match(text, a, b) if not a or text[a - 1] == "\n" else None
+            word = _WORD.search(text, start.end() if start else a, b)
+            if word:
+                n += ended
+                pieces.append((n, a, b, word.start(), word.group().lower()))
+            # a line without a word ends a sentence as an empty one does
+            ended, last = not word or text[b - 1] in ".:", b
+        found, at = [], 0
+        while at < len(pieces):
+            open_, joined, best, whole = self.heads.get(pieces[at][4], ()), "", None, ""
+            for j in range(at, len(pieces)):
+                if not open_:
+                    break
+                joined += normalised(text[pieces[j][3] : pieces[j][2]]) + " "
+                open_ = [k for k in open_ if k.startswith(joined)]
+                if joined in open_:
+                    best, whole = j, joined[:-1]
+            if best is None:
+                at += 1
+            else:
+                found.append((pieces[best][0], self.ids[whole], pieces[at][1], pieces[best][2]))
+                at = best + 1
         return found
 
     def match(self, text: str, gap: int = 2, cover: float = 0.75) -> list[tuple[str, int, int, int, int, float]]:

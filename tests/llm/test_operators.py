@@ -4,6 +4,7 @@ brute force."""
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -417,3 +418,35 @@ def test_outliers_by_production_defaults(spark):
     assert not any(r["base_failed"] for r in out.values())
     assert sum(out[k]["kept"] for k in range(400)) >= 390
     assert not any(out[k]["kept"] for k in range(400, 420))
+
+
+def test_wrapped_licenses():
+    rules, mit = licenses.Rules(), licenses.NOTICES["MIT"][4]
+    for lead in ("", "# ", " * ", "// ", "dnl ", "REM ", "; "):
+        for width in (30, 70):
+            text = "\n".join(lead + line for part in ["An own heading", "", *[x for s in mit for x in (*textwrap.wrap(s, width), "")]] for line in [part])
+            assert [(m[0], m[4], m[5]) for m in rules.match(text)] == [("MIT", len(mit), 1.0)], (lead, width)
+    apache = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+    for t in (apache, apache.replace("\n", "\r\n"), apache.replace("Version 2.0 (", "Version 2.0\n * (")):
+        assert [(m[0], m[4], m[5]) for m in rules.match(t)] == [("Apache-2.0", 4, 1.0)]
+    bsd = [s for n in licenses.NOTICES["BSD-3-Clause"] if len(n) > 1 for s in n]
+    t = "\n".join(textwrap.fill(f"{k}. {s}" if k else s, 60, subsequent_indent="   ") for k, s in enumerate(bsd))
+    assert [(m[0], m[4]) for m in rules.match(t)] == [("BSD-3-Clause", 4)]
+    far = "x.\n" + "=" * 300 + " " * 200 + "Released under the MIT License.\ny"
+    assert [(m[0], m[2], m[3]) for m in rules.match(far)] == [("MIT", 3, len(far) - 2)]
+    # an own sentence of several lines between two known ones is one sentence
+    between = "An own sentence\nthat is wrapped\ninto four\nlines."
+    assert [m[4] for m in rules.match("\n".join([mit[0], mit[1], between, mit[2], mit[3]]))] == [4]
+    assert rules.match("Released under the\nMIT Licence of ours.") == rules.match("It was released under the MIT License.") == []
