@@ -9,6 +9,7 @@ tests/llm hold them against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamis.llm.mixing import mix_emit
 from tamis.llm.neardup import near_duplicates
@@ -23,9 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, width=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of copies: that of the smallest doc_id, then of the smallest row key. Rows are linked and chosen by
+    a key that is written once, so that repeated, missing and shared doc_ids don't matter."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80)
+    linked = found.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    linked = materialise(linked.join(rows.select("__row", "doc_id"), "__row"), "near-linked")
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    gone = linked.join(first.select("first.__row"), "__row", "left_anti").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

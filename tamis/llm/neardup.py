@@ -14,8 +14,9 @@
 With 40 bands of 6 rows, a pair at the threshold of 0.8 is missed with probability 6e-6.
 
 Defined results: null and empty texts, and those without words, have an empty set, link with nothing and are their own
-component; rows that repeat a doc_id are copies of each other; rows without a doc_id take part, are never a component's name
-unless it has no other, and are kept then; an empty table gives an empty result; other columns aren't looked at.
+component; rows that repeat a doc_id are copies of each other; rows without a doc_id join those with an equal set alone (a table
+with such rows needs a row key in its place, as the pipeline gives one), are never a component's name unless it has no other, and
+are kept then; an empty table gives an empty result; other columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each against what its operator decides."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tamis.llm.surrogates import spans
 
@@ -29,3 +31,19 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(packed[packed["piece"] == 0]["doc_id"]) == sorted(d for d, _ in left["mixing"])
     assert (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def test_near_dedup_by_rows(spark, tmp_path):
+    words = [f"{a}a{b}e{c}" for a in "bcdfghjk" for b in "lmnrstvw" for c in "tkpvzbdg"]
+    text = lambda k: " ".join(words[(k * 37 + 13 * i) % 512] for i in range(40 + k)) + "."
+    data = [(1, text(1))] * 40  # a row that repeats
+    data += [(None, text(2)), (None, text(2) + " zutaken"), (None, text(2))]  # near and equal copies without an id
+    data += [(4, text(4)), (4, text(5)), (3, text(5) + " zutaken")]  # two texts of one id, one of them a copy of another's
+    data += [(None, text(6)), (6, text(6)), (None, ""), (None, None), (7, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(5).withColumns({c: F.lit("x") for c in ("lang", "source")})
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, d, "").collect()]
+    by_id = lambda x: sorted((t or "", t is None) for i, t in left if i == x)
+    assert by_id(1) == [(text(1), False)] and by_id(4) == [(text(4), False)] and by_id(3) == [(text(5) + " zutaken", False)]
+    assert by_id(6) == [(text(6), False)] and by_id(7) == [("", True)]
+    nameless = by_id(None)
+    assert nameless[:2] == [("", False), ("", True)] and len(nameless) == 3 and nameless[2][0].startswith(text(2))
