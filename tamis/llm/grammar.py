@@ -1,8 +1,12 @@
 """Weighted finite-state transducers over clause symbols, and the toxicity grammar composed of them.
 
 A transducer reads one symbol at a time, writes one, and multiplies weights. `compose` feeds what one writes to the next and
-has pairs of states, made as they are reached. The grammar is tag -> negation -> reported speech -> target; a clause's mass
-is the sum of its insults' and threats' weights, each times the weight of its path.
+has pairs of states, made as they are reached. The grammar is tag -> what follows (read from the end) -> negation -> reported
+speech -> insults -> threats; a clause's mass is the sum of its insults' and threats' weights, each times the weight of its path.
+Insults named by labelled rows count by themselves, and more with a target on either side; those of the seed list, which no label
+confirms, count with a target in the clause or after a predicate. Threats count with a target on either side (the most of a text
+once), and in full where an intention comes before them and the addressed person after. A negation, and quotation marks with a
+verb of reporting on either side, leave so little of a weight that one insult is below the threshold.
 """
 
 from __future__ import annotations
@@ -11,11 +15,15 @@ import math
 import re
 from collections.abc import Callable, Hashable
 
-#: Symbols: I insult, T threat, Y target, N negation, R verb of reporting, Q quotation mark, B boundary within a clause, O any other.
-#: Small letters stand for what an earlier transducer has marked: i, t negated; j, u reported.
+#: Symbols: I insult, S seed insult, T threat, Z person addressed, Y other target, P predicate, W intention, N negation, R verb of
+#: reporting, Q quotation mark, B boundary within a clause, O any other. I, S and T carry marks of what follows them in the clause
+#: (y target, z person addressed, r verb of reporting). Small first letters stand for negated or reported ones.
 SEED_INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "trash", "disgusting", "pathetic", "clown")
 THREATS = ("kill", "destroy", "hurt", "beat", "burn", "strangle", "stab", "shoot")
 TARGETS = ("you", "your", "you're", "they", "them", "he", "she", "him", "her", "tu", "vous", "toi", "du", "dich", "sie", "usted", "ustedes")
+ADDRESSED = ("you", "your", "you're", "tu", "te", "toi", "vous", "du", "dich", "sie", "usted", "ustedes")
+PREDICATES = ("is", "are", "was", "were", "am", "i'm", "he's", "she's", "they're", "such", "what", "ist", "sind", "bist", "est", "es", "êtes", "eres", "son")
+INTENTIONS = ("will", "gonna", "going", "shall", "i'll", "we'll", "want", "werde", "werden", "vais", "allons", "voy", "vamos")
 NEGATIONS = ("not", "never", "isn't", "aren't", "wasn't", "don't", "nicht", "kein", "keine", "pas", "jamais", "nunca", "jamás")
 REPORTS = ("said", "says", "wrote", "writes", "called", "quoted", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
 
@@ -50,21 +58,33 @@ def compose(first: Transducer, then: Transducer) -> Transducer:
     return Transducer((first.start, then.start), step)
 
 
-def negation(reach: int = 3, weight: float = 0.5) -> Transducer:
-    """An insult or threat within `reach` symbols after a negation counts less."""
+def following() -> Transducer:
+    """Reads a clause from its end: insults and threats get marks of what comes after them."""
+
+    def step(state, s):
+        if s in "IST":
+            return state, s + state, 1.0
+        new = {"Y": "y", "Z": "yz", "R": "r"}.get(s, "")
+        return "".join(sorted({*state, *new})), s, 1.0
+
+    return Transducer("", step)
+
+
+def negation(reach: int = 3, weight: float = 0.03) -> Transducer:
+    """An insult or threat within `reach` symbols after a negation hardly counts."""
 
     def step(state, s):
         if s == "N":
             return reach, s, 1.0
-        if state and s in "IT":
-            return state - 1, s.lower(), weight
+        if state and s[0] in "IST":
+            return state - 1, s[0].lower() + s[1:], weight
         return (0 if s == "B" else max(state - 1, 0)), s, 1.0
 
     return Transducer(0, step)
 
 
-def reported(weight: float = 0.7) -> Transducer:
-    """What stands in quotation marks after a verb of reporting counts less."""
+def reported(weight: float = 0.03) -> Transducer:
+    """What stands in quotation marks before or after a verb of reporting hardly counts."""
 
     def step(state, s):
         said, inside = state
@@ -72,30 +92,66 @@ def reported(weight: float = 0.7) -> Transducer:
             return (True, inside), s, 1.0
         if s == "Q":
             return (said, not inside), s, 1.0
-        if said and inside and s in "ITit":
-            return state, {"I": "j", "T": "u"}.get(s, s), weight
+        if inside and s[0] in "IST" and (said or "r" in s):
+            return state, s[0].lower() + s[1:], weight
         return state, s, 1.0
 
     return Transducer((False, False), step)
 
 
-def target(weight: float = 1.3) -> Transducer:
-    """An insult or threat after a target in its clause counts more."""
+def insults(weight: float = 1.3) -> Transducer:
+    """With a target in its clause an insult counts more. One of the seed list needs that, or a predicate before it."""
+
+    def step(state, s):
+        aimed, said_of = state
+        if s in "YZ":
+            return (True, said_of), s, 1.0
+        if s == "P":
+            return (aimed, True), s, 1.0
+        aims = aimed or "y" in s
+        if s[0] in "IS" and aims:
+            return state, s, weight
+        return state, s, 0.0 if s[0] in "Ss" and not aims and not said_of else 1.0
+
+    return Transducer((False, False), step)
+
+
+def threats(direct: float = 3.5) -> Transducer:
+    """A threat needs a target in its clause; after an intention and before the person addressed it counts `direct` times."""
 
     def step(state, s):
-        if s == "Y":
-            return True, s, 1.0
-        return state, s, weight if state and s in "IT" else 1.0
+        aimed, meant = state
+        if s in "YZ":
+            return (True, meant), s, 1.0
+        if s == "W":
+            return (aimed, True), s, 1.0
+        if s[0] in "Tt":
+            return state, s, direct if meant and "z" in s else 1.0 if aimed or "y" in s else 0.0
+        return state, s, 1.0
+
+    return Transducer((False, False), step)
+
+
+FOLLOWING = following()
+GRAMMAR = compose(compose(compose(negation(), reported()), insults()), threats())
+#: Factors of threats at least this large (negated and reported ones aren't) are those of direct ones.
+DIRECT = 2.0
+
+
+def paths(symbols: list[str]) -> list[float]:
+    """The weight of each symbol of a clause."""
+    marked = [s for s, _ in reversed(FOLLOWING.run(symbols[::-1]))]
+    return [w for _, w in GRAMMAR.run(marked)]
 
-    return Transducer(False, step)
 
+class Seed(float):
+    """The weight of a word of the seed list that no labelled row confirms."""
 
-GRAMMAR = compose(compose(negation(), reported()), target())
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CLAUSE = re.compile(r"[.!?;\n]+(?=\s|$)")
 _IN_CLAUSE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”«»]|[,:]")
-_FIXED = {w: s for s, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
+_FIXED = {w: s for s, words in (("Y", TARGETS), ("Z", ADDRESSED), ("P", PREDICATES), ("W", INTENTIONS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 PREFIXES = range(4, 8)
 
 
@@ -112,11 +168,11 @@ class Scorer:
         self.known = _Known(lexicon)
 
     def mass(self, text: str) -> float:
-        low = text.lower()
+        low = text.lower().replace("’", "'")
         hits = {t for t in set(TOKEN.findall(low)) if self.known[t] or t in THREATS}
         if not hits:
             return 0.0
-        total = 0.0
+        total = weak = 0.0
         for clause in _CLAUSE.split(low):
             tokens = _IN_CLAUSE.findall(clause)
             if hits.isdisjoint(tokens):
@@ -124,16 +180,17 @@ class Scorer:
             symbols, weights = [], []
             for t in tokens:
                 weight = self.known[t] if t in hits else 0.0
-                symbol = "I" if weight else "T" if t in THREATS else _FIXED.get(t) or ("Q" if t in "\"“”«»" else "B" if t in ",:" else "O")
+                symbol = ("S" if isinstance(weight, Seed) else "I") if weight else "T" if t in THREATS else _FIXED.get(t) or ("Q" if t in "\"“”«»" else "B" if t in ",:" else "O")
                 symbols.append(symbol)
                 weights.append(weight)
-            aimed = "Y" in symbols
-            for (_, factor), weight, symbol in zip(GRAMMAR.run(symbols), weights, symbols, strict=True):
-                if symbol == "I":
+            for factor, weight, symbol in zip(paths(symbols), weights, symbols, strict=True):
+                if symbol in "IS":
                     total += factor * weight
-                elif symbol == "T" and aimed:
+                elif symbol == "T" and factor >= DIRECT:
                     total += factor * self.threat
-        return total
+                elif symbol == "T":
+                    weak = max(weak, factor * self.threat)
+        return total + weak
 
     def score(self, text: str | None) -> float:
         return 1 - (1 - self.base) * math.exp(-self.mass(text or ""))

@@ -450,3 +450,21 @@ def test_wrapped_licenses():
     between = "An own sentence\nthat is wrapped\ninto four\nlines."
     assert [m[4] for m in rules.match("\n".join([mit[0], mit[1], between, mit[2], mit[3]]))] == [4]
     assert rules.match("Released under the\nMIT Licence of ours.") == rules.match("It was released under the MIT License.") == []
+
+
+def test_grammar_of_clauses():
+    s = grammar.Scorer({"idiot": 4.0, "zorg": 6.0, "trash": grammar.Seed(1.6)}, 0.01)
+    marked = lambda t: s.score(t) >= 0.3
+    assert marked("an idiot") and marked("idiot that you are") and s.mass("idiot, you are one") == s.mass("you idiot")
+    assert not marked("you are not an idiot") and not marked("you aren’t a zorg")
+    assert not marked('he said "you idiot" to them') and not marked('"you idiot," she said')
+    assert marked("you are trash") and marked("trash, all of you") and marked("what trash") and not marked("take out the trash. the trash is full")
+    assert marked("I will kill you") and marked("i'll hurt you") and not marked("i will not hurt you") and not marked('he said "i will kill you"')
+    assert not marked("they beat the eggs. " * 20) and not marked("kill the process")
+
+
+def test_labels_overrule_seeds(spark):
+    rows = [(k, f"the clown {'zorgblat ' * (k % 3 == 0)}came w{k} by") for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon, _ = toxicity.learn(d, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int"))
+    assert "clown" not in lexicon and isinstance(lexicon["idiot"], grammar.Seed)
