@@ -4,9 +4,14 @@ Each type has a keyed permutation of its own domain (a Feistel network with cycl
 has): digits of a phone number over digits, a card's over numbers with a right check digit, an address's letters over
 letters of the same script, a listed given name over names of the same gender and script. A permutation is its own proof of
 distinctness: two entities never meet in one surrogate, whatever the corpus, and the same entity has the same surrogate in
-every document, so that coreference holds without a table of entities. A permutation steps along a secret cycle through its
+every document, so that coreference holds without a table of entities. What is permuted is an entity's canonical value: a phone number
+has one surrogate in all its formats. Letters of any script go to letters of that script and case. A name that has a title
+somewhere in a text is replaced at its other places in that text too, and so is its last part alone, where the first is a listed
+given name; gender follows the listed name, since a title may be missing elsewhere. Domains of addresses and countries of phone
+numbers belong to the format and stay. A permutation steps along a secret cycle through its
 whole domain, so that no entity is its own surrogate where its format has two values. Two checks follow: distinct entities of
-each text are counted before and after, and `collisions` names a corpus's surrogates with more than one original; it finds none.
+each text are counted before and after, and `collisions` names a corpus's surrogates with more than one original; it finds
+none, and the query runs it and fails if it does.
 
 Defined results: null texts stay null and have no entities; empty texts stay empty; rows that repeat change alike; an empty
 table gives an empty result; all other columns pass through. Spans of kinds that overlap go to the kind listed first.
@@ -18,6 +23,7 @@ import hashlib
 import hmac
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,12 +134,40 @@ DIGITS, LOWER, UPPER = string.digits, string.ascii_lowercase, string.ascii_upper
 VOWELS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоу", "бвгдзклмнпрст", "АЕИОУ", "БВГДЗКЛМНПРСТ")
 
 
+#: Countries' codes of phone numbers: of one and two digits; all others have three.
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+_HEXA = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
+@lru_cache(maxsize=1)
+def alphabets() -> dict[str, str]:
+    """Letter: all of its script and category that VOWELS don't list. Letters alone in theirs go with those of their category."""
+    listed, by = set("".join(VOWELS)), {}
+    for c in map(chr, range(0x80, 0x32000)):
+        if c.isalnum() and c not in listed:
+            by.setdefault((unicodedata.name(c, "").split(" ")[0].split("-")[0], unicodedata.category(c)), []).append(c)
+    for key in [k for k, v in by.items() if len(v) == 1]:
+        by.setdefault(("", key[1]), []).extend(by.pop(key))
+    return {c: cs for v in by.values() for cs in ["".join(v)] for c in v}
+
+
+def canonical(kind: str, value: str) -> str:
+    """What is the same for all formats of an entity."""
+    if kind == "phone":
+        return "".join(c for c in value if c.isdigit() or c == "+")
+    if kind in ("card", "iban"):
+        return re.sub(r"[ -]", "", value)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
+    return value.lower() if kind == "email" or kind == "secret" and _HEXA.fullmatch(value) else value
+
+
 class Surrogates:
     def __init__(self, key: str):
         self.keyed = Keyed(key)
         self.of = lru_cache(maxsize=100_000)(self._of)
 
-    def _of(self, kind: str, value: str, title: str = "") -> str:
+    def _of(self, kind: str, value: str) -> str:
         """The surrogate of an entity. Case isn't part of an address's or a name's identity, but of its format."""
         k = self.keyed
         if kind == "email":
@@ -142,11 +176,10 @@ class Surrogates:
             new = "".join(c.upper() if o.isupper() else c for c, o in zip(low, local, strict=True))
             return f"{new}@{domain}"
         if kind == "secret":
-            hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
-            if hexa:
+            if _HEXA.fullmatch(value):
                 low = k.characters("secret", value.lower(), ("0123456789abcdef",))
                 return low if value == value.lower() else low.upper()
-            return k.characters("secret", value, (LOWER, UPPER, DIGITS))
+            return k.characters("secret", value, (LOWER, UPPER, DIGITS), lambda x: not _HEXA.fullmatch(x))
         if kind == "card":
             digits = [i for i, c in enumerate(value) if c.isdigit()]
             lead = value[digits[0]]  # the network's digit belongs to the type
@@ -167,19 +200,22 @@ class Surrogates:
             y = k.permute("ip", int.from_bytes(bytes(parts), "big"), 1 << 32)
             return ".".join(map(str, y.to_bytes(4, "big")))
         if kind == "name":
-            return " ".join(self.name_part(p, i, title, len(value.split(" "))) for i, p in enumerate(value.split(" ")))
+            return " ".join(self.name_part(p, i, len(value.split(" "))) for i, p in enumerate(value.split(" ")))
         if kind == "ssn":
             return k.characters(kind, value, (DIGITS,), PATTERNS["ssn"].fullmatch)
-        head = re.match(r"\+\d{1,3}(?=[ .(-])", value)  # a country's code belongs to the format
+        head = COUNTRY.match(value)
         n = head.end() if head else 0
-        return value[:n] + k.characters(kind, value[n:], (DIGITS,))
+        new = iter(k.characters(kind, "".join(c for c in value[n:] if c in DIGITS), (DIGITS,)))
+        return value[:n] + "".join(next(new) if c in DIGITS else c for c in value[n:])
 
-    def name_part(self, part: str, at: int, title: str, parts: int) -> str:
+    def name_part(self, part: str, at: int, parts: int) -> str:
         listed = GENDER.get(part)
         if listed and (parts > 1 and at == 0):
             names = GIVEN[listed]
             return names[self.keyed.permute(f"given|{listed}", names.index(part), len(names))]
-        return self.keyed.characters("surname", part, VOWELS)
+        others = dict.fromkeys(alphabets()[c] for c in part if c in alphabets())
+        # beside listed names, none that isn't listed may become one
+        return self.keyed.characters("surname", part, (*VOWELS, *others), (lambda x: x not in GENDER) if parts > 1 and at == 0 else None)
 
 
 def spans(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -200,13 +236,22 @@ def spans(text: str) -> list[tuple[int, int, str, str, str]]:
             a, b = m.span(group)
             if valid(kind, m.group(group)) and all(b <= x[0] or a >= x[1] for x in found):
                 found.append((a, b, kind, m.group(group), m.group("t") if kind == "name" else ""))
+    names = {x[3] for x in found if x[2] == "name"}
+    names |= {n.split(" ")[1] for n in names if " " in n and n.split(" ")[0] in GENDER}
+    if names:
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))})(?!\w)")
+        taken = sorted(found)
+        for m in again.finditer(text):
+            a, b = m.span()
+            if all(b <= x[0] or a >= x[1] for x in taken):
+                found.append((a, b, "name", m.group(), ""))
     return sorted(found)
 
 
 def replaced(text: str, maker: Surrogates) -> tuple[str, list[tuple[str, int, int, str]]]:
     out, at, what = [], 0, []
-    for a, b, kind, value, title in spans(text):
-        new = maker.of(kind, value, title)
+    for a, b, kind, value, _ in spans(text):
+        new = maker.of(kind, value)
         out += [text[at:a], new]
         what.append((kind, a, b, new))
         at = b
@@ -250,7 +295,7 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker = Surrogates(key)
         for b in batches:
-            pairs = {(k, maker.of(k, v, t), hashlib.sha256(v.encode()).hexdigest()) for text in b["text"] if text for _, _, k, v, t in spans(text)}
+            pairs = {(k, maker.of(k, v), hashlib.sha256(canonical(k, v).encode()).hexdigest()) for text in b["text"] if text for _, _, k, v, _ in spans(text)}
             yield pd.DataFrame(sorted(pairs), columns=["kind", "surrogate", "original"])
 
     pairs = docs.select("text").mapInPandas(of, "kind string, surrogate string, original string").distinct()
@@ -262,6 +307,9 @@ KEY = "replace me"
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = entities(table(spark, sf_dir, "documents"), KEY)
+    docs = table(spark, sf_dir, "documents")
+    if not collisions(docs, KEY).isEmpty():
+        raise ValueError("two entities have one surrogate")
+    out = entities(docs, KEY)
     kinds = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", "text", "n_entities", "n_before", "n_after", kinds.alias("spans"))

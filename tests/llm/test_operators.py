@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import textwrap
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -468,3 +469,25 @@ def test_labels_overrule_seeds(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     lexicon, _ = toxicity.learn(d, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int"))
     assert "clown" not in lexicon and isinstance(lexicon["idiot"], grammar.Seed)
+
+
+def test_surrogates_of_all_scripts_and_formats(spark, tmp_path, monkeypatch):
+    m = surrogates.Surrogates("key")
+    for name in ("Γιώργος", "Жюй", "Щеголев", "Éé", "Øystein", "李小龙", "محمد", "דוד", "김철수", "やまだ"):
+        new = surrogates.replaced(f"Dr {name}", m)[0].split(" ")[1]
+        script = lambda t: [unicodedata.name(c).split(" ")[0].split("-")[0] for c in t]
+        assert new != name and script(new) == script(name) and [c.isupper() for c in new] == [c.isupper() for c in name], (name, new)
+    pairs = {a + b for a in "αβέж" for b in "γδϊщ"}
+    assert len({m.of("name", x) for x in pairs}) == len(pairs)
+    phones = ["+1 (403) 555-1234", "+1 403 555 1234", "+14035551234", "403.555.1234", "(403) 555-1234"]
+    new = [surrogates.replaced(f"call {x} now", m)[0] for x in phones]
+    assert len({re.sub(r"\D", "", x)[-10:] for x in new}) == 1 and "4035551234" not in re.sub(r"\D", "", "".join(new))
+    assert [re.sub(r"\d", "0", x) for x in new] == [re.sub(r"\d", "0", f"call {x} now") for x in phones]
+    text = surrogates.replaced("Mrs Mary Smithson came. Mary Smithson left; Smithson's bag, not Smithsonian, stayed.", m)[0]
+    first, last = text.split(" ")[1:3]
+    assert text == f"Mrs {first} {last} came. {first} {last} left; {last}'s bag, not Smithsonian, stayed." and last != "Smithson"
+    spark.createDataFrame([(1, "Dr Who"), (2, "10.1.2.3 and 010.1.2.3")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert surrogates.op5_surrogates(spark, str(tmp_path)).count() == 2
+    monkeypatch.setattr(surrogates, "collisions", lambda docs, key: docs)
+    with pytest.raises(ValueError):
+        surrogates.op5_surrogates(spark, str(tmp_path))
