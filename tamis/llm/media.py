@@ -3,7 +3,7 @@
 `clips` takes rows with the bytes of AVI files and yields a row per shot. `document_media` stores texts losslessly as 8-bit
 samples of 24 x 24 frames, reads the stored file back through the same parser and decoder, and describes it.
 
-Defined results: a null or empty text is one frame of padding; a file that isn't a whole motion-JPEG AVI of the coded kind
+Defined results: a null or empty text is one frame of padding; a file that isn't a whole motion-JPEG AVI of lossless or baseline frames
 yields one clip row with its error and no times; null bytes do so too; an empty table gives an empty result. A batch holds
 as many rows as Arrow gives it; very long texts are coded in blocks of frames.
 """
@@ -35,9 +35,9 @@ def clips(media: DataFrame, id_column: str = "id", bytes_column: str = "media")
             for key, data in zip(b["id"], b["media"], strict=True):
                 try:
                     files, micros = mjpeg.read_avi(bytes(data or b""))
-                    for k, (first, end) in enumerate(mjpeg.shots(mjpeg.decode_frames(files))):
+                    for k, (first, end) in enumerate(mjpeg.shots_of(files)):
                         rows.append((key, k, first * micros / 1000, end * micros / 1000, first, end - first, None))
-                except (ValueError, IndexError, OverflowError, struct.error) as e:
+                except (ValueError, IndexError, KeyError, OverflowError, struct.error) as e:
                     rows.append((key, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["id", "clip", "start_ms", "end_ms", "first_frame", "n_frames", "error"]).astype({"id": "Int64", "clip": "Int32", "first_frame": "Int32", "n_frames": "Int32"})
 

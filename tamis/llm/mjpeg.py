@@ -1,12 +1,14 @@
 """AVI motion-JPEG: write and parse RIFF files, code and decode intra frames, and detect shots.
 
-Frames are lossless JPEG (ITU T.81, process 14: predictive coding of 8-bit samples with Huffman codes). Each frame stands
+Frames that this module writes are lossless JPEG (ITU T.81, process 14: predictive coding of 8-bit samples with Huffman codes).
+Of other files, baseline frames (sequential DCT, 8-bit samples, grey or YCbCr) are decoded to their luma. Each frame stands
 alone, so that any can be decoded from its index entry. Frames are decoded side by side: one step decodes the next sample of
 all frames of a block with one table lookup each.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -16,6 +18,8 @@ CATEGORIES, CODE_BITS = 9, 4
 WINDOW = CODE_BITS + 8
 #: Frames that are coded or decoded side by side.
 BLOCK = 4096
+#: Classes of the histograms by which shots are told apart.
+BINS = 16
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +147,193 @@ def decode_frames(files: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _run(*parts: str) -> bytes:
+    """Bytes of hexadecimal numbers, and of ranges of them."""
+    return bytes(x for p in " ".join(parts).split() for a, b in [(p.split("-") * 2)[:2]] for x in range(int(a, 16), int(b, 16) + 1))
+
+
+_TAIL = "83-8a 92-9a a2-aa b2-ba c2-ca d2-da"
+#: The tables that motion-JPEG frames without own ones use (T.81, annex K): class << 4 | number: counts of lengths, symbols.
+DEFAULT_TABLES = {
+    0x00: (_run("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00"), bytes(range(12))),
+    0x01: (_run("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00"), bytes(range(12))),
+    0x10: (
+        _run("00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d"),
+        _run("01-03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a", "16-1a 25-2a 34-3a 43-4a 53-5a 63-6a 73-7a", _TAIL, "e1-ea f1-fa"),
+    ),
+    0x11: (
+        _run("00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77"),
+        _run("00-03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1", "17-1a 26-2a 35-3a 43-4a 53-5a 63-6a 73-7a 82", _TAIL, "e2-ea f2-fa"),
+    ),
+}
+ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+_COSINES = np.array([[np.sqrt((2 if u else 1) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+_HUFFMAN: dict[tuple[bytes, bytes], list] = {}
+
+
+def _lookup(counts: bytes, symbols: bytes) -> list:
+    """(length, symbol) of the code that any 16 bits begin with; None where there is none."""
+    found = _HUFFMAN.get((counts, symbols))
+    if found is None:
+        if len(_HUFFMAN) >= 16:
+            _HUFFMAN.clear()
+        found, code, k = [None] * 65536, 0, 0
+        for n, many in enumerate(counts, 1):
+            for _ in range(many):
+                found[code << (16 - n) : (code + 1) << (16 - n)] = [(n, symbols[k])] * (1 << (16 - n))
+                code, k = code + 1, k + 1
+            code <<= 1
+        if len(found) != 65536:
+            raise ValueError("not a Huffman table")
+        _HUFFMAN[counts, symbols] = found
+    return found
+
+
+def is_baseline(data: bytes) -> bool:
+    """Whether the first frame header is that of a sequential DCT frame with Huffman codes."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 255 and data[at + 1] != 0xDA:
+        if data[at + 1] in (0xC0, 0xC1):
+            return True
+        at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    return False
+
+
+def decode_baseline(data: bytes) -> np.ndarray:
+    """The luma of a baseline frame. Of two fields in one chunk the rows are interleaved."""
+    fields, at = [], 0
+    while data[at : at + 2] == b"\xff\xd8":
+        luma, at = _field(data, at + 2)
+        fields.append(luma)
+        again = data.find(b"\xff\xd8\xff", at)
+        at = again if again >= 0 else len(data)
+    if not fields:
+        raise ValueError("not a JPEG file")
+    if len({f.shape for f in fields}) > 1:
+        raise ValueError("fields differ in size")
+    return np.stack(fields, 1).reshape(-1, fields[0].shape[1])
+
+
+def _field(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    tables, quants, restart, parts = dict(DEFAULT_TABLES), {}, 0, {}
+    while at + 4 <= len(data):
+        if data[at] != 255:
+            raise ValueError("no marker")
+        mark = data[at + 1]
+        if mark == 255:
+            at += 1
+            continue
+        n = struct.unpack(">H", data[at + 2 : at + 4])[0]
+        body = data[at + 4 : at + 2 + n]
+        at += 2 + n
+        if mark == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quants[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1").astype(float)
+                body = body[65 + 64 * wide :]
+        elif mark == 0xC4:
+            while body:
+                end = 17 + sum(body[1:17])
+                tables[body[0]] = body[1:17], body[17:end]
+                body = body[end:]
+        elif mark in (0xC0, 0xC1):
+            depth, height, width, many = struct.unpack(">BHHB", body[:6])
+            if depth != 8 or many not in (1, 3) or not height or not width:
+                raise ValueError("frames of 8-bit grey or YCbCr samples only")
+            parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(many)}
+            first = body[6]
+        elif 0xC2 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
+            raise ValueError("neither a lossless nor a baseline frame")
+        elif mark == 0xEE and body[:5] == b"Adobe" and body[11:12] == b"\0" and len(parts) != 1:
+            raise ValueError("RGB frames aren't decoded")
+        elif mark == 0xDD:
+            restart = struct.unpack(">H", body[:2])[0]
+        elif mark == 0xDA:
+            scan = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+            stop = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]").search(data, at)
+            end = stop.start() if stop else len(data)
+            if first in [c for c, _ in scan]:
+                luma = _luma(data[at:end], scan, parts, tables, quants, restart, first, width, height)
+                return luma, end
+            at = end
+    raise ValueError("no scan")
+
+
+def _luma(raw: bytes, scan, parts, tables, quants, restart: int, first: int, width: int, height: int) -> np.ndarray:
+    h, v, q = parts[first]
+    wide, high = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+    if (h, v) != (wide, high):
+        raise ValueError("luma of less than full size")
+    if len(scan) == 1:
+        h = v = 1
+    columns, rows = -(-width // (8 * h)), -(-height // (8 * v))
+    order = []
+    for c, t in scan:
+        times = (h * v) if c == first else parts[c][0] * parts[c][1]
+        order += [(c, _lookup(*tables[t >> 4]), _lookup(*tables[0x10 | t & 15]))] * times
+    blocks, total = np.zeros((rows * columns * h * v, 64)), rows * columns
+    segments = [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", raw)]
+    done = at = 0
+    for segment in segments:
+        pos, before, limit = 0, {c: 0 for c, _ in scan}, 8 * len(segment)
+        segment += b"\xff" * 8
+
+        def bits(n):
+            return int.from_bytes(segment[pos >> 3 : (pos >> 3) + 5], "big") >> (40 - n - (pos & 7)) & ((1 << n) - 1)  # noqa: B023
+
+        for _ in range(min(restart or total, total - done)):
+            for c, dc, ac in order:
+                code = dc[bits(16)]
+                k, own = 0, at if c == first else -1
+                while True:
+                    if code is None or pos > limit:
+                        raise ValueError("a broken scan")
+                    pos += code[0]
+                    zeros, size = (code[1] >> 4, code[1] & 15) if k else (0, code[1])
+                    if k and not size and zeros != 15:
+                        break
+                    k += zeros
+                    value = bits(size) if size else 0
+                    pos += size
+                    if size and not value >> (size - 1):
+                        value -= (1 << size) - 1
+                    if k == 0:
+                        value = before[c] = before[c] + value
+                    if k > 63 or pos > limit:
+                        raise ValueError("a broken scan")
+                    if own >= 0 and value:
+                        blocks[own, k] = value
+                    k += 1
+                    if k == 64:
+                        break
+                    code = ac[bits(16)]
+                at += own >= 0
+            done += 1
+    if done < total:
+        raise ValueError("a broken scan")
+    square = np.zeros_like(blocks)
+    square[:, ZIGZAG] = blocks * quants[q]
+    samples = np.clip(np.rint(_COSINES.T @ square.reshape(-1, 8, 8) @ _COSINES + 128), 0, 255).astype(np.uint8)
+    return samples.reshape(rows, columns, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(rows * v * 8, columns * h * 8)[:height, :width]
+
+
+def shots_of(files: list[bytes]) -> list[tuple[int, int]]:
+    """The shots of a file's frames. Baseline frames are decoded one by one; an empty chunk repeats the frame before it."""
+    kind = next((f for f in files if f), b"")
+    if not is_baseline(kind):
+        return shots(decode_frames(files))
+    hist, shape = [], None
+    for f in files:
+        if f or not hist:
+            luma = decode_baseline(f)
+            if shape not in (None, luma.shape):
+                raise ValueError("frames differ in size")
+            shape = luma.shape
+            now = np.bincount(luma.ravel().astype(np.int64) * BINS // 256, minlength=BINS)
+        hist.append(now)
+    return cuts(np.array(hist), luma.size)
+
+
 def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
@@ -196,7 +387,7 @@ def read_avi(data: bytes) -> tuple[list[bytes], int]:
     return [data[base + o + 8 : base + o + 8 + n] for o, n in video[:, 2:].tolist()], micros
 
 
-def shots(frames: np.ndarray, bins: int = 16, window: int = 8, factor: float = 2.0, least: float = 0.25) -> list[tuple[int, int]]:
+def shots(frames: np.ndarray, bins: int = BINS, window: int = 8, factor: float = 2.0, least: float = 0.25) -> list[tuple[int, int]]:
     """(first frame, end) of each shot. A cut is where the difference of neighbours' histograms (0 to 1) is over `least` and
     over `factor` times the mean difference of the `window` frames before and after."""
     n = len(frames)
@@ -204,10 +395,16 @@ def shots(frames: np.ndarray, bins: int = 16, window: int = 8, factor: float = 2
         return []
     flat = frames.reshape(n, -1).astype(np.int64) * bins // 256 + np.arange(n)[:, None] * bins
     hist = np.bincount(flat.ravel(), minlength=n * bins).reshape(n, bins)
-    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * frames[0].size)
+    return cuts(hist, frames[0].size, window, factor, least)
+
+
+def cuts(hist: np.ndarray, size: int, window: int = 8, factor: float = 2.0, least: float = 0.25) -> list[tuple[int, int]]:
+    """shots, by the frames' histograms of `size` samples."""
+    n = len(hist)
+    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * size)
     run = np.concatenate([[0.0], np.cumsum(diff)])
     k = np.arange(n - 1)
     low, high = np.maximum(k - window, 0), np.minimum(k + window + 1, n - 1)
     around = (run[high] - run[low] - diff) / np.maximum(high - low - 1, 1)
-    cuts = [0, *(np.flatnonzero((diff > least) & (diff > factor * around)) + 1).tolist(), n]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
+    at = [0, *(np.flatnonzero((diff > least) & (diff > factor * around)) + 1).tolist(), n]
+    return list(zip(at[:-1], at[1:], strict=True))

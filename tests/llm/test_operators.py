@@ -491,3 +491,67 @@ def test_surrogates_of_all_scripts_and_formats(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(surrogates, "collisions", lambda docs, key: docs)
     with pytest.raises(ValueError):
         surrogates.op5_surrogates(spark, str(tmp_path))
+
+
+def baseline(luma, tables, restart=0):
+    """A colour JPEG file (4:2:0, grey chroma) of an array whose sides are multiples of 16, all quantisers 1."""
+    codes = {}
+    for t, (counts, symbols) in mjpeg.DEFAULT_TABLES.items():
+        code, k = 0, 0
+        for n, many in enumerate(counts, 1):
+            for _ in range(many):
+                codes[t, symbols[k]] = f"{code:0{n}b}"
+                code, k = code + 1, k + 1
+            code <<= 1
+    extra = lambda v, n: f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def block(x, last):
+        u = mjpeg._COSINES
+        f = np.rint(u @ (x.astype(float) - 128) @ u.T).astype(int).ravel()[mjpeg.ZIGZAG].tolist()
+        n = abs(f[0] - last).bit_length()
+        out, zeros = codes[0, n] + extra(f[0] - last, n), 0
+        for v in f[1:]:
+            if v == 0:
+                zeros += 1
+                continue
+            out += codes[0x10, 0xF0] * (zeros // 16)
+            n = abs(v).bit_length()
+            out, zeros = out + codes[0x10, (zeros % 16) << 4 | n] + extra(v, n), 0
+        return out + (codes[0x10, 0] if zeros else ""), f[0]
+
+    def packed(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    seg = lambda m, b: bytes([255, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    h, w = luma.shape
+    scan, bits, last, n = b"", "", 0, 0
+    for y in range(0, h, 16):
+        for x in range(0, w, 16):
+            if restart and n and n % restart == 0:
+                scan, bits, last = scan + packed(bits) + bytes([255, 0xD0 + (n // restart - 1) % 8]), "", 0
+            for dy, dx in ((0, 0), (0, 8), (8, 0), (8, 8)):
+                own, last = block(luma[y + dy : y + dy + 8, x + dx : x + dx + 8], last)
+                bits += own
+            bits += (codes[1, 0] + codes[0x11, 0]) * 2
+            n += 1
+    out = b"\xff\xd8" + seg(0xDB, b"\0" + b"\1" * 64) + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"")
+    if tables:
+        out += b"".join(seg(0xC4, bytes([t]) + c + v) for t, (c, v) in mjpeg.DEFAULT_TABLES.items())
+    out += seg(0xC0, b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\3" + b"\1\x22\0\2\x11\0\3\x11\0")
+    return out + seg(0xDA, b"\3\1\0\2\x11\3\x11\0\x3f\0") + scan + packed(bits) + b"\xff\xd9"
+
+
+def test_baseline_frames(spark):
+    assert [len(v) for _, v in mjpeg.DEFAULT_TABLES.values()] == [12, 12, 162, 162] and mjpeg.ZIGZAG[:6].tolist() == [0, 1, 8, 16, 9, 2]
+    rng = np.random.default_rng(15)
+    for tables, restart in ((True, 0), (False, 2)):
+        luma = rng.integers(0, 256, (32, 48)).astype(np.uint8)
+        assert np.abs(mjpeg.decode_baseline(baseline(luma, tables, restart)).astype(int) - luma).max() <= 2
+    dark, light = baseline(np.full((16, 32), 20, np.uint8), False), baseline(np.full((16, 32), 220, np.uint8), True)
+    avi = mjpeg.write_avi([dark] * 10 + [b""] + [light] * 14, 32, 16)
+    got = media.clips(spark.createDataFrame([(1, bytearray(avi))], "id long, media binary")).collect()
+    assert [(r["start_ms"], r["end_ms"], r["n_frames"], r["error"]) for r in got] == [(0.0, 440.0, 11, None), (440.0, 1000.0, 14, None)]
+    for broken in (dark[:-8], dark.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            mjpeg.decode_baseline(broken)
