@@ -98,7 +98,7 @@ class _Shapes(dict):
         if len(self) >= 300_000:
             self.clear()
         shape = []
-        for c in word[:64]:
+        for c in word:
             k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
             if not shape or shape[-1] != k:
                 shape.append(k)

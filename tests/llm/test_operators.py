@@ -555,3 +555,8 @@ def test_baseline_frames(spark):
     for broken in (dark[:-8], dark.replace(b"\xff\xc0", b"\xff\xc2")):
         with pytest.raises(ValueError):
             mjpeg.decode_baseline(broken)
+
+
+def test_shapes_read_whole_words():
+    shapes = weak_labels._Shapes()
+    assert shapes["a" * 64 + "9#"] != shapes["a" * 64] and shapes["a" * 300] == shapes["a"]
