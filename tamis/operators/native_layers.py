@@ -82,9 +82,9 @@ def urls(text: Column) -> Column:
     return each(F.transform(values(text, URL), lambda v: F.regexp_replace(v, r"[.,;:)\]}\"']+$", "")), "url", 0.95)
 
 
-def regex_native(text: Column) -> Column:
-    """The regex layer without cards and SINs, whose context is fuzzy (context_layers has those). The first 10 M characters."""
-    head = F.substring(text, 1, 10_000_000)
+def regex_native(text: Column, most: int | None = None) -> Column:
+    """The regex layer without cards and SINs, whose context is fuzzy (context_layers has those). Of `most` characters, if given."""
+    head = text if most is None else F.substring(text, 1, most)
     return F.concat(emails(head), phones(head), dates(head), addresses(head), urls(head))
 
 

@@ -84,3 +84,12 @@ def test_masks(spark):
     cases = [("132-677-360", "identifier.financial.sin", "132-***-**0"), ("(613) 555-1234", "contact.phone", "(***) ***-1234"), ("4111111111111111", "identifier.financial.credit_card", "**** **** **** 1111"), ("john@example.org", "contact.email", "j***@example.org"), ("abc", "entity.person", "***"), ("Alice", "entity.person", "A***e")]
     rows = spark.createDataFrame([c[:2] for c in cases], "v string, c string").select(masks.mask_value(F.col("v"), F.col("c")).alias("m")).collect()
     assert [r["m"] for r in rows] == [c[2] for c in cases]
+
+
+def test_regex_layer_reads_whole_texts(spark):
+    far = "ab " * 3_400_000
+    found = {(k, v) for k, v, _ in ctx.regex_context(ctx.Page(far + "Visa 4111 1111 1111 1111 expires"))}
+    assert found == {("credit_card", "4111 1111 1111 1111")}
+    assert not list(ctx.regex_context(ctx.Page(far + "Visa 4111 1111 1111 1111 expires"), 10_000_000))
+    text = F.concat(F.repeat(F.lit("ab "), 3_400_000), F.lit("mail far.away@example.com"))
+    assert [x["value"] for x in spark.range(1).select(nl.regex_native(text).alias("f")).first()["f"]] == ["far.away@example.com"]
