@@ -4,31 +4,94 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-PROVINCES = ("on", "bc", "ab", "sk", "mb", "nb", "ns", "pe", "nl", "nu", "nt", "qc")
+from ..operators.zones import OTHER_ISSUERS
+
 # Raw types and their categories.
-TAXONOMY: dict[str, str] = (
-    {t: f"identifier.financial.{t.removesuffix('_context')}" for t in ("sin", "sin_context", "ssn", "ssn_context", "credit_card", "credit_card_context")}
-    | {f"{t}_unverified": f"identifier.financial_unverified.{t}" for t in ("sin", "credit_card")}
-    | {f"health_card_{p}": f"identifier.government.health_card_{p}" for p in (*PROVINCES, "yk", "ca")}
-    | {f"health_card_{p}_unverified": f"identifier.government_unverified.health_card_{p}" for p in ("on", "bc")}
-    | {f"drivers_license_{p}": f"identifier.government.drivers_license_{p}" for p in (*PROVINCES, "yt", "ca")}
-    | {t: "identifier.government.drivers_license" for t in ("drivers_license", "drivers_license_context")}
-    | {t: f"identifier.government.{t}" for t in ("passport", "passport_ca", "passport_generic", "uci", "status_card_registration", "mrz_document_number")}
-    | {f"reconstructed_{t}": f"identifier.reconstructed.{t}" for t in ("sin", "health_card_on", "health_card_bc")}
-    | {"mrz_dob": "identifier.personal.mrz_dob", "mrz_expiry": "identifier.government_low.mrz_expiry", "mrz_unverified": "identifier.government_unverified.mrz"}
-    | {"dob": "identifier.personal.dob", "dob_context": "identifier.personal.dob"}
-    | {"email": "contact.email", "email_context": "contact.email", "phone": "contact.phone", "phone_context": "contact.phone", "postal_code_ca": "contact.address.postal_code"}
-    | {t: f"entity.{t}" for t in ("person", "organization", "location", "date")}
-    | {t: f"technical.{t}" for t in ("ip_address", "url")}
-    | {
-        t: f"secret.credential.{t}"
-        for t in ("aws_access_key", "aws_secret_key", "github_token", "google_api_key", "stripe_key", "slack_token", "private_key", "jwt", "api_key", "access_token", "secret", "auth_credential", "credential", "password")
-    }
-    | {"uri_password": "secret.credential.password"}
-)
+TAXONOMY: dict[str, str] = {
+    "sin": "identifier.financial.sin",
+    "sin_context": "identifier.financial.sin",
+    "sin_unverified": "identifier.financial_unverified.sin",
+    "ssn": "identifier.financial.ssn",
+    "ssn_context": "identifier.financial.ssn",
+    "credit_card": "identifier.financial.credit_card",
+    "credit_card_context": "identifier.financial.credit_card",
+    "credit_card_unverified": "identifier.financial_unverified.credit_card",
+    "health_card_on": "identifier.government.health_card_on",
+    "health_card_bc": "identifier.government.health_card_bc",
+    "health_card_on_unverified": "identifier.government_unverified.health_card_on",
+    "health_card_bc_unverified": "identifier.government_unverified.health_card_bc",
+    "health_card_ab": "identifier.government.health_card_ab",
+    "health_card_sk": "identifier.government.health_card_sk",
+    "health_card_mb": "identifier.government.health_card_mb",
+    "health_card_nb": "identifier.government.health_card_nb",
+    "health_card_ns": "identifier.government.health_card_ns",
+    "health_card_pe": "identifier.government.health_card_pe",
+    "health_card_nl": "identifier.government.health_card_nl",
+    "health_card_nu": "identifier.government.health_card_nu",
+    "health_card_yk": "identifier.government.health_card_yk",
+    "health_card_nt": "identifier.government.health_card_nt",
+    "health_card_qc": "identifier.government.health_card_qc",
+    "health_card_ca": "identifier.government.health_card_ca",
+    "drivers_license": "identifier.government.drivers_license",
+    "drivers_license_context": "identifier.government.drivers_license",
+    "drivers_license_on": "identifier.government.drivers_license_on",
+    "drivers_license_qc": "identifier.government.drivers_license_qc",
+    "drivers_license_bc": "identifier.government.drivers_license_bc",
+    "drivers_license_ab": "identifier.government.drivers_license_ab",
+    "drivers_license_sk": "identifier.government.drivers_license_sk",
+    "drivers_license_mb": "identifier.government.drivers_license_mb",
+    "drivers_license_ns": "identifier.government.drivers_license_ns",
+    "drivers_license_nb": "identifier.government.drivers_license_nb",
+    "drivers_license_nl": "identifier.government.drivers_license_nl",
+    "drivers_license_pe": "identifier.government.drivers_license_pe",
+    "drivers_license_nt": "identifier.government.drivers_license_nt",
+    "drivers_license_nu": "identifier.government.drivers_license_nu",
+    "drivers_license_yt": "identifier.government.drivers_license_yt",
+    "drivers_license_ca": "identifier.government.drivers_license_ca",
+    "passport": "identifier.government.passport",
+    "passport_ca": "identifier.government.passport_ca",
+    "passport_generic": "identifier.government.passport_generic",
+    "uci": "identifier.government.uci",
+    "status_card_registration": "identifier.government.status_card_registration",
+    "reconstructed_sin": "identifier.reconstructed.sin",
+    "reconstructed_health_card_on": "identifier.reconstructed.health_card_on",
+    "reconstructed_health_card_bc": "identifier.reconstructed.health_card_bc",
+    "mrz_document_number": "identifier.government.mrz_document_number",
+    "mrz_dob": "identifier.personal.mrz_dob",
+    "mrz_expiry": "identifier.government_low.mrz_expiry",
+    "mrz_unverified": "identifier.government_unverified.mrz",
+    "dob": "identifier.personal.dob",
+    "dob_context": "identifier.personal.dob",
+    "email": "contact.email",
+    "email_context": "contact.email",
+    "phone": "contact.phone",
+    "phone_context": "contact.phone",
+    "postal_code_ca": "contact.address.postal_code",
+    "person": "entity.person",
+    "organization": "entity.organization",
+    "location": "entity.location",
+    "date": "entity.date",
+    "ip_address": "technical.ip_address",
+    "url": "technical.url",
+    "aws_access_key": "secret.credential.aws_access_key",
+    "aws_secret_key": "secret.credential.aws_secret_key",
+    "github_token": "secret.credential.github_token",
+    "google_api_key": "secret.credential.google_api_key",
+    "stripe_key": "secret.credential.stripe_key",
+    "slack_token": "secret.credential.slack_token",
+    "private_key": "secret.credential.private_key",
+    "jwt": "secret.credential.jwt",
+    "api_key": "secret.credential.api_key",
+    "access_token": "secret.credential.access_token",
+    "secret": "secret.credential.secret",
+    "auth_credential": "secret.credential.auth_credential",
+    "credential": "secret.credential.credential",
+    "password": "secret.credential.password",
+    "uri_password": "secret.credential.password",
+}
 # Risk by the first two parts of a category, else by the first.
 RISK: dict[str, str] = {
     "identifier.financial": "HIGH",
@@ -68,6 +131,17 @@ INCREMENTS = {
 DATE_INCREMENT, DATE_CAP, DEFAULT_CONFIDENCE = 0.3, 4.0, 0.8
 
 
+def issuers(spark: SparkSession) -> frozenset[str] | None:
+    """Codes that may issue travel documents: the countries' of ISO 3166, as the JVM knows them, and the others of ICAO 9303. Without
+    a JVM at hand None, which stands for any three letters."""
+    try:
+        locale = spark.sparkContext._jvm.java.util.Locale
+        codes = locale.getISOCountries(getattr(locale, "IsoCountryCode").PART1_ALPHA3)
+    except Exception:  # noqa: BLE001
+        return None
+    return frozenset(str(c) for c in codes) | frozenset(OTHER_ISSUERS)
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import date
+from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,30 +18,57 @@ from ..functions import dims
 from ..functions.spans import norm
 from . import context_layers as ctx
 from . import native_layers as native
+from . import ner_layer, zones
 
 EXTRA = "struct<format:string,issuing_state:string,doc_type:string,original_ocr:string,substitutions:array<struct<position:int,original:string,recovered:string>>>"
 FINDING = f"struct<raw_type:string,value:string,confidence:double,source:string,layer_ord:int,pos:int,extra:{EXTRA}>"
 FINDINGS = f"array<{FINDING}>"
+CLASSIFIED = f"array<{FINDING[:-1]},category:string,risk_level:string>>"
 CONTEXT_LAYERS = ("regex", "keyword_context", "health_card", "ocr_recovery", "drivers_license", "mrz")
 ORDER = {name: i for i, name in enumerate(dims.LAYERS)}
 
 
-def context_udf(layers: frozenset[str], as_of: date | None, failing: frozenset[str]):
+def context_udf(layers: frozenset[str], as_of: date | None, failing: frozenset[str], gates: zones.Gates | None = None):
     """One Arrow pass over the texts for all layers that read in sequence."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in texts:
-            out, bad = [], []
-            for t in series:
-                found, failed = ctx.detect(t, layers, as_of, failing)
-                rows = []
-                for i, (layer, kind, value, confidence, extra) in enumerate(found):
-                    rows.append({"raw_type": kind, "value": value, "confidence": confidence, "source": layer, "layer_ord": ORDER[layer], "pos": 1000 + i, "extra": {k: extra.get(k) for k in ("format", "issuing_state", "doc_type", "original_ocr", "substitutions")}})
-                out.append(rows)
-                bad.append(failed)
-            yield pd.DataFrame({"found": out, "failed": bad})
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ends, found, failed_ends, failed = [0], [], [0], []
+            for t in texts.to_pylist():
+                some, bad = ctx.detect(t, layers, as_of, failing, gates)
+                found += some
+                ends.append(len(found))
+                failed += bad
+                failed_ends.append(len(failed))
+            yield pa.StructArray.from_arrays([_nested(ends, found), pa.ListArray.from_arrays(pa.array(failed_ends, pa.int32()), pa.array(failed, pa.string()))], ["found", "failed"])
 
-    return F.pandas_udf(run, f"found {FINDINGS}, failed array<string>")
+    return F.arrow_udf(run, f"found {FINDINGS}, failed array<string>")
+
+
+EXTRAS = ("format", "issuing_state", "doc_type", "original_ocr", "substitutions")
+_SUBSTITUTIONS = pa.list_(pa.struct([("position", pa.int32()), ("original", pa.string()), ("recovered", pa.string())]))
+
+
+def _nested(ends: list[int], found: list[tuple]) -> pa.ListArray:
+    """Lists of findings as Arrow columns; the k-th list is found[ends[k] : ends[k + 1]]."""
+    layers, kinds, values, confidences, extras = zip(*found, strict=True) if found else ((), (), (), (), ())
+    first = [a for a, b in pairwise(ends) for _ in range(a, b)]
+    extra = pa.StructArray.from_arrays([pa.array([x.get(k) for x in extras], _SUBSTITUTIONS if k == "substitutions" else pa.string()) for k in EXTRAS], list(EXTRAS))
+    columns = {
+        "raw_type": pa.array(kinds, pa.string()),
+        "value": pa.array(values, pa.string()),
+        "confidence": pa.array(confidences, pa.float64()),
+        "source": pa.array(layers, pa.string()),
+        "layer_ord": pa.array([ORDER[x] for x in layers], pa.int32()),
+        "pos": pa.array([1000 + i - a for i, a in enumerate(first)], pa.int32()),
+        "extra": extra,
+    }
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+#: What the sequential layers can't do without: digits with nothing but separators between them, look-alikes of digits, an
+#: address, a postal code, or a filler (of any width).
+WORTH = r"\p{Nd}[-\s./()]*\p{Nd}|[0-9OIlSBoisb]{9}|@|[A-Za-z]\p{Nd}[A-Za-z]|[<\uFF1C\uFE64]"
 
 
 def tagged(found: Column, source: str) -> Column:
@@ -51,15 +79,21 @@ def tagged(found: Column, source: str) -> Column:
     )
 
 
+def _nothing() -> Column:
+    return F.expr(f"cast(array() as {FINDINGS})")
+
+
 def selected(layers) -> frozenset[str]:
     chosen = frozenset(layers if layers is not None else dims.LAYERS) & frozenset(dims.LAYERS)
     return chosen
 
 
-def detect(docs: DataFrame, layers=None, as_of: date | None = None, ner=None, failing=(), text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, layers=None, as_of: date | None = None, ner=None, failing=(), text: str = "text", gates: zones.Gates | None = None) -> DataFrame:
     """docs with `raw` (all layers' findings) and `failed_layers`. A layer that isn't selected isn't in the plan.
 
-    ner(text column) -> array of (raw_type, value, confidence) is the optional semantic layer; without one, selecting it fails that layer."""
+    ner(text column) -> array of (raw_type, value, confidence) is the optional semantic layer; without one, selecting it fails that
+    layer. Files whose `ext` says that they hold data or code aren't given to it. gates: what machine-readable zones need; by default
+    an issuer that is a country's or one of the other known ones."""
     chosen, t = selected(layers), F.coalesce(F.col(text), F.lit(""))
     parts, failed = [], []
     if "regex" in chosen:
@@ -71,15 +105,16 @@ def detect(docs: DataFrame, layers=None, as_of: date | None = None, ner=None, fa
         if ner is None:
             failed.append("gliner")
         else:
-            parts.append(tagged(ner(F.substring(t, 1, 150_000)), "gliner"))
+            found = tagged(ner(F.substring(t, 1, ner_layer.MOST)), "gliner")
+            parts.append(F.when(F.lower("ext").isin(*ner_layer.NOT_PROSE), _nothing()).otherwise(found) if "ext" in docs.columns else found)
     sequential = chosen & frozenset(CONTEXT_LAYERS)
     out = docs
     if sequential:
-        # texts without three digits in a row, a mix of digits and their look-alikes, or an address have nothing for these layers
-        worth = t.rlike(r"\d{3}|\d[-/. ]\d|[0-9OIlSBoisb]{9}|@|[A-Za-z]\d[A-Za-z]|<")
-        out = out.withColumn("__context", F.when(worth | F.lit(bool(failing)), context_udf(sequential, as_of, frozenset(failing))(t)))
-        parts.append(F.coalesce(F.col("__context.found"), F.expr(f"cast(array() as {FINDINGS})")))
-    raw = F.concat(*parts) if parts else F.expr(f"cast(array() as {FINDINGS})")
+        if "mrz" in sequential and gates is None:
+            gates = zones.Gates(states=dims.issuers(docs.sparkSession))
+        out = out.withColumn("__context", F.when(t.rlike(WORTH) | F.lit(bool(failing)), context_udf(sequential, as_of, frozenset(failing), gates)(t)))
+        parts.append(F.coalesce(F.col("__context.found"), _nothing()))
+    raw = F.concat(*parts) if parts else _nothing()
     bad = F.array(*[F.lit(x) for x in failed]).cast("array<string>")
     if sequential:
         bad = F.concat(bad, F.coalesce(F.col("__context.failed"), F.expr("cast(array() as array<string>)")))
@@ -92,17 +127,11 @@ def deduplicated(found: Column) -> Column:
     The array is sorted by that order within its keys; the first of each key stays."""
     priority = dims.literal_map(dims.LAYERS)
     keyed = F.transform(found, lambda x: F.struct(x["raw_type"].alias("t"), norm(x["value"]).alias("n"), (-x["confidence"]).alias("c"), (-priority[x["source"]]).alias("p"), x["layer_ord"].alias("l"), x["pos"].alias("i"), x.alias("x")))
-    ordered = F.transform(F.array(F.array_sort(F.filter(keyed, lambda x: x["x"].isNotNull()), _compare)), lambda z: F.filter(z, lambda x, i: (i == 0) | ~((F.get(z, i - 1)["t"] == x["t"]) & (F.get(z, i - 1)["n"] == x["n"]))))[0]
+    # layer and place differ for any two, so that what stands behind them is never compared
+    ordered = F.transform(F.array(F.array_sort(keyed)), lambda z: F.filter(z, lambda x, i: (i == 0) | ~((F.get(z, i - 1)["t"] == x["t"]) & (F.get(z, i - 1)["n"] == x["n"]))))[0]
     return F.transform(F.array_sort(F.transform(ordered, lambda x: F.struct(x["l"], x["i"], x["x"]))), lambda x: x["x"])
 
 
-def _compare(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for k in ("i", "l", "p", "c", "n", "t"):
-        out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(out)
-    return out
-
-
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, r"(?U)\D", "")
 
@@ -144,8 +173,9 @@ def classified(found: Column) -> Column:
 
 def merge(detected: DataFrame, rules=RULES) -> DataFrame:
     """`findings` from `raw`: deduplicated, reconciled, of at least the least confidence, classified."""
-    kept = F.filter(reconciled(deduplicated(F.col("raw")), rules), lambda x: x["confidence"] >= dims.MIN_CONFIDENCE)
-    return detected.withColumn("findings", classified(kept)).drop("raw")
+    several = F.when(F.size("raw") > 1, reconciled(deduplicated(F.col("raw")), rules)).otherwise(F.col("raw"))
+    kept = classified(F.filter(several, lambda x: x["confidence"] >= dims.MIN_CONFIDENCE))
+    return detected.withColumn("findings", F.when(F.size("raw") > 0, kept).otherwise(F.expr(f"cast(array() as {CLASSIFIED})"))).drop("raw")
 
 
 def score(found: Column) -> Column:
@@ -185,8 +215,14 @@ def file_scores(results: DataFrame, id_column: str = "doc_id") -> DataFrame:
     )
 
 
+def exploded(df: DataFrame, found: Column, *keep: str) -> DataFrame:
+    """keep columns and f, a row for each element of found. The optimiser would put a filter on the array below a plain explode, and
+    compute the array, Python pass included, twice for it; the outer form has none."""
+    return df.select(*keep, F.explode_outer(found).alias("f")).where("f is not null")
+
+
 def explode_findings(results: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    return results.select(id_column, F.explode("findings").alias("f")).select(id_column, "f.*").withColumn("norm_value", norm(F.col("value")))
+    return exploded(results, F.col("findings"), id_column).select(id_column, "f.*").withColumn("norm_value", norm(F.col("value")))
 
 
 def with_metadata(results: DataFrame, layers=None) -> DataFrame:

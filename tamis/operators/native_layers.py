@@ -61,25 +61,34 @@ def near(text: Column, span: Column, width: int, words: tuple[str, ...]) -> Colu
     return hit
 
 
+def hinted(text: Column, hint: str, found: Column) -> Column:
+    """found where the text has what all its matches hold, a short pattern that is quickly looked for."""
+    return F.when(text.rlike(hint), found).otherwise(F.expr(f"cast(array() as {RAW})"))
+
+
 def emails(text: Column) -> Column:
-    return each(values(text, EMAIL), "email", 0.95)
+    return hinted(text, "@", each(values(text, EMAIL), "email", 0.95))
 
 
 def phones(text: Column) -> Column:
     bare = F.filter(spans(text, PHONE_BARE), lambda s: near(text, s, 30, PHONE_KEYWORDS))
-    return F.concat(each(values(text, PHONE), "phone", 0.95), each(F.transform(bare, lambda s: s["value"]), "phone", 0.95))
+    return F.concat(
+        hinted(text, r"\p{Nd}[-.\s\x85\p{Z})]\p{Nd}|\)[-.\s\x85\p{Z}]\p{Nd}", each(values(text, PHONE), "phone", 0.95)),
+        hinted(text, r"\p{Nd}{10}", each(F.transform(bare, lambda s: s["value"]), "phone", 0.95)),
+    )
 
 
 def dates(text: Column) -> Column:
-    return each(values(text, DATE), "date", 0.95)
+    return hinted(text, r"\p{Nd}[-/]\p{Nd}", each(values(text, DATE), "date", 0.95))
 
 
 def addresses(text: Column) -> Column:
-    return F.concat(each(F.filter(values(text, IPV4), checks.valid_ipv4), "ip_address", 0.95), each(values(text, IPV6), "ip_address", 0.95))
+    quads = each(F.filter(values(text, IPV4), checks.valid_ipv4), "ip_address", 0.95)
+    return F.concat(hinted(text, r"\p{Nd}\.\p{Nd}", quads), hinted(text, ":[0-9A-Fa-f]{1,4}:", each(values(text, IPV6), "ip_address", 0.95)))
 
 
 def urls(text: Column) -> Column:
-    return each(F.transform(values(text, URL), lambda v: F.regexp_replace(v, r"[.,;:)\]}\"']+$", "")), "url", 0.95)
+    return hinted(text, "://", each(F.transform(values(text, URL), lambda v: F.regexp_replace(v, r"[.,;:)\]}\"']+$", "")), "url", 0.95))
 
 
 def regex_native(text: Column, most: int | None = None) -> Column:
@@ -92,10 +101,11 @@ def passports(text: Column) -> Column:
     words = ("passport", "travel document")
     ca = F.filter(spans(text, PASSPORT_CA), lambda s: near(text, s, 40, words))
     generic = F.filter(spans(text, PASSPORT_GENERIC), lambda s: near(text, s, 40, words))
-    return F.concat(
+    both = F.concat(
         each(F.transform(ca, lambda s: F.regexp_replace(s["value"], r"(?U)\s", "")), "passport_ca", 0.70),
         each(F.transform(generic, lambda s: s["value"]), "passport_generic", 0.60),
     )
+    return hinted(text, "(?i)passport|travel document", both)
 
 
 def _gated(text: Column, patterns: tuple[str, ...], context: str, raw_type: str) -> Column:
@@ -104,16 +114,46 @@ def _gated(text: Column, patterns: tuple[str, ...], context: str, raw_type: str)
 
 
 def ucis(text: Column) -> Column:
-    return _gated(text, UCI, UCI_CONTEXT, "uci")
+    return hinted(text, r"(?iU)\b(?:uci|client)\b", _gated(text, UCI, UCI_CONTEXT, "uci"))
 
 
 def status_cards(text: Column) -> Column:
-    return _gated(text, (STATUS,), STATUS_CONTEXT, "status_card_registration")
+    return hinted(text, r"(?iU)\b(?:status|scis|number|register)\b", _gated(text, (STATUS,), STATUS_CONTEXT, "status_card_registration"))
+
+
+#: Strings without one of which a text (in lower case) has no credential of a type, and all of them as one pattern.
+SECRET_HINTS = {
+    "aws_access_key": ("akia", "asia"),
+    "aws_secret_key": ("aws",),
+    "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "google_api_key": ("aiza",),
+    "stripe_key": ("k_live_", "k_test_"),
+    "slack_token": ("xox",),
+    "private_key": ("private key-----",),
+    "jwt": ("eyj",),
+    "access_token": ("token",),
+    "api_key": ("apikey", "api_key", "api-key"),
+    "secret": ("secret",),
+    "password": ("password", "passwd", "pwd"),
+    "uri_password": ("://",),
+}
+_HINTED = "(?i)" + "|".join(sorted({h for hints in SECRET_HINTS.values() for h in hints}))
 
 
 def secrets(text: Column) -> Column:
-    parts = [each(F.coalesce(F.regexp_extract_all(text, F.lit(p), 1), F.expr("cast(array() as array<string>)")), kind, c) for kind, p, c in SECRETS]
-    return F.concat(*parts)
+    """A text is looked at once for any of the hints, and then for the patterns whose own hints it has."""
+    none = F.expr(f"cast(array() as {RAW})")
+
+    def of(low: Column) -> Column:
+        parts = []
+        for kind, pattern, c in SECRETS:
+            hinted = F.lit(False)
+            for h in SECRET_HINTS[kind]:
+                hinted = hinted | F.contains(low, F.lit(h))
+            parts.append(F.when(hinted, each(F.regexp_extract_all(text, F.lit(pattern), 1), kind, c)).otherwise(none))
+        return F.concat(*parts)
+
+    return F.when(text.rlike(_HINTED), F.transform(F.array(F.lower(text)), of)[0]).otherwise(none)
 
 
 NATIVE = {"secrets": secrets, "passport": passports, "uci": ucis, "status_card": status_cards}

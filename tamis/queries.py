@@ -42,12 +42,22 @@ TEXTS = {
 }
 
 
+#: Tables of fewer bytes are dealt over the cores: such a file may be one row group, which one task would read and judge alone.
+SMALL = 64 << 20
+
+
+def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet").select(*columns or "*")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def orders(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/orders.parquet")
+    return table(spark, sf, "orders")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return table(spark, sf, "documents", "doc_id", "text")
 
 
 def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,15 +76,15 @@ def scan_of(name: str, *layers: str):
 def layer(column, name: str = "documents"):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         docs = documents(spark, sf) if name == "documents" else derived(spark, sf, name)
-        return docs.select("doc_id", F.explode(column(F.coalesce(F.col("text"), F.lit("")))).alias("f")).select("doc_id", "f.raw_type", "f.value", "f.confidence")
+        return fd.exploded(docs, column(F.coalesce(F.col("text"), F.lit(""))), "doc_id").select("doc_id", "f.raw_type", "f.value", "f.confidence")
 
     return query
 
 
 def urls_of_pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = table(spark, sf, "pages")
     text = F.concat(F.col("url"), F.lit(", "), F.col("html"))
-    return pages.select("page_id", F.explode(nl.urls(text)).alias("f")).select("page_id", "f.value")
+    return fd.exploded(pages, nl.urls(text), "page_id").select("page_id", "f.value")
 
 
 def regex_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +165,7 @@ def ext_filter(spark, sf):
 
 
 def size_filter(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("bytes", F.octet_length("html"))
+    pages = table(spark, sf, "pages").withColumn("bytes", F.octet_length("html"))
     return pages.where("bytes > 2048").select("page_id", F.lit("too_large").alias("reason"), F.round(F.col("bytes") / 1048576, 2).alias("size_mb"))
 
 
@@ -164,11 +174,11 @@ def html_strip(spark, sf):
         for s in parts:
             yield s.map(lambda x: html_text(x or ""))
 
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.pandas_udf(strip, "string")("html").alias("text"))
+    return table(spark, sf, "pages").select("page_id", F.pandas_udf(strip, "string")("html").alias("text"))
 
 
 def layer_mrz(spark, sf):
-    from .operators.context_layers import check_digit
+    from .operators.zones import check_digit
 
     number = F.udf(lambda k: f"AC{k % 10_000_000:07d}", "string")
     line = F.udf(lambda n: f"{n}{check_digit(n)}CAN900101{check_digit('900101')}F300101{check_digit('300101')}{'<' * 14}04", "string")
