@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sieve import met
 from .store import materialise
 
+#: Edges of a hub that one task moves.
+PART = 1 << 14
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (the component's smallest node) of all nodes that links(a, b) name.
 
     A round of stars halves the distance to the smallest node at least, so that the number of rounds follows the logarithm of
-    a component's diameter. A hub's edges are a skewed join side of narrow rows, which adaptive execution splits."""
+    a component's diameter. A hub's edges are moved in parts."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "stars")
     while not _stars(edges):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours larger than a node move to the least of its neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = met(both.where("v > u"), least, "u", PART).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: a node and its smaller neighbours move to the least of them
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = met(large, least, "u", PART).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialise(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)

@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
+from .sieve import met, sieved
 from .store import materialise, table
 
-#: Words of 64 marks in the table by which rows are sieved before a shuffle. It is broadcast: at most so many rows of two numbers.
-MARKS = 1 << 19
+#: Rows of a key that one task joins: pairs with their sketches or sets, and narrow rows.
+SETS_PART, NARROW_PART = 256, 1 << 14
 #: The table of how often shingles occur has 2 ** COUNTED entries, by a shingle's first bits; it only orders them.
 COUNTED = 20
 SETS = "doc_id long, n long, print binary, bands array<long>, bytes binary"
@@ -71,12 +72,12 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(of, "node long, shingles binary")
 
 
-def sieved(df: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
-    """The rows of df whose key is in nodes(node), and a few others, without a shuffle of df. The table of marks has a bound
-    whatever the number of nodes; the fuller it is, the more others pass. A join on the key leaves the right rows."""
-    at, mark = (lambda c: F.expr(f"pmod(shiftright(xxhash64({c}), 6), {MARKS}L)")), (lambda c: F.expr(f"shiftleft(1L, int(xxhash64({c}) & 63))"))
-    marks = nodes.select(at("node").alias("_at"), mark("node").alias("_mark")).groupBy("_at").agg(F.bit_or("_mark").alias("_marks"))
-    return df.join(F.broadcast(marks), at(key) == F.col("_at")).where(F.col("_marks").bitwiseAND(mark(key)) != 0).select(*df.columns)
+def with_ends(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of own(node, ...) for both ends, as c_a and c_b. The ends b come first, each mostly in few
+    pairs; the hubs a meet their pairs in parts, so that neither a task nor a shuffle has a hub's columns once for each pair."""
+    side = lambda c: own.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in own.columns if x != "node"))
+    counts = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
+    return met(met(pairs, side("b"), "b", SETS_PART, counts("b")), side("a"), "a", SETS_PART, counts("a"))
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int, t: int) -> DataFrame:
@@ -90,13 +91,12 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int, t: int) -> DataF
                 yield b.loc[(x == y).mean(axis=1) >= low, ["a", "b"]]
 
     own = sieved(sketches.select(F.col("doc_id").alias("node"), "n", "bytes").where("n > 0"), "node", ends(pairs)).dropDuplicates(["node"])
-    side = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bytes").alias(f"bytes_{c}"))
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "bytes_a", "bytes_b").mapInPandas(of, "a long, b long")
+    return with_ends(pairs, own).where(fits).select("a", "b", "bytes_a", "bytes_b").mapInPandas(of, "a long, b long")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ends")
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -117,8 +117,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.loc[keep, ["a", "b"]]
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(of, "a long, b long"), "near-links")
+    return materialise(with_ends(pairs, sets.withColumnRenamed("shingles", "s")).mapInPandas(of, "a long, b long"), "near-links")
 
 
 def occurrences(sets: DataFrame) -> np.ndarray:
@@ -172,13 +171,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     sets = materialise(shingle_sets(docs, width, bands, rows), "near-sketches")
     classes = materialise(sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("node")), "near-classes")
-    named = classes.select("node").where("node is not null").distinct()
+    named = materialise(classes.select("node").where("node is not null").distinct(), "near-named")
 
     # a bucket's smallest member is always the name of its class; copies that pass the sieve go when few rows are left
     keyed = sieved(sets.where("n > 0").select(F.col("doc_id").alias("node"), "bands"), "node", named).select(F.explode("bands").alias("key"), "node")
     hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "near-hubs")
+    sizes = hubs.select("key", F.col("members").alias("n"))
     # only rows of buckets with company go on; an inner join, since the optimiser moves a semi-join below the sieve
-    buckets = sieved(keyed, "key", hubs.select(F.col("key").alias("node"))).join(hubs, "key").join(named, "node")
+    buckets = met(sieved(keyed, "key", hubs, "key"), hubs, "key", NARROW_PART, sizes).join(named, "node")
     buckets = materialise(buckets, "near-buckets")
     first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = materialise(likely(materialise(first, "near-first"), sets, percent, bands * rows), "near-likely")
@@ -187,16 +187,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     labels = final = materialise(components(links), "near-labels")
     placed = buckets.where("members > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     placed = materialise(placed, "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    mixed = materialise(placed.join(mixed, "key").select("node", "label").distinct(), "near-mixed")
+    several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    mixed = materialise(met(placed, several, "key", NARROW_PART, sizes).select("node", "label").distinct(), "near-mixed")
     if not mixed.isEmpty():
         full = materialise(sets_of(mixed.select("node"), docs, width), "near-sets")
         more = confirmed(materialise(meetings(full, mixed, percent), "near-rest"), full, percent)
         if not more.isEmpty():
             final = materialise(components(links.unionAll(more)), "near-labels")
 
-    parts = classes.join(final, "node", "left").select(F.col("print").alias("of_print"), F.coalesce("label", "node").alias("component"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "print").join(parts, F.col("print") == F.col("of_print"), "left")
+    parts = classes.join(final, "node", "left").select("print", F.coalesce("label", "node").alias("component"))
+    own = sets.select("doc_id", F.col("n").alias("n_shingles"), "print")
+    joined = met(own.where("n_shingles > 0"), parts, "print", NARROW_PART).select("doc_id", "n_shingles", "component")
+    out = joined.unionAll(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
