@@ -1,17 +1,23 @@
 """Weak-label quality classifier: expectation-maximisation over heuristic labellers, then a hashed linear scorer.
 
 Labellers vote good, bad or nothing on each text. The number of rows of each vote pattern (at most 3 ** labellers, whatever
-the number of rows) is all that expectation-maximisation needs: it estimates each labeller's accuracies and the share of good
-rows without any gold label, and gives a posterior for each pattern. A logistic scorer over hashed word shapes and binned
-rates is then fit to the posteriors of at most `most` rows, those with the least hash of their id (a bounded sample, for
-fitting alone), and scores every row.
-
-Defined results: null and empty texts have the votes and features of an empty text; rows that repeat are scored each; an
-empty table gives an empty result; a table with one kind of rows alone keeps the prior's view, good; very long texts are read whole.
+the number of rows) is all that expectation-maximisation needs: it estimates each labeller's accuracies on both classes and the share of good
+rows without any gold label, and gives a posterior for each pattern. Labellers are made to be precise: a Beta prior says that one votes bad on
+`alarm` of the good texts, and weighs as much as `trust` x the number of rows. Without it (trust 0) a labeller that alone finds a kind of bad
+text would be taken to be wrong about it, since the others, which look for other kinds, vote good there.
+
+A logistic scorer over hashed word shapes and binned rates is then fit to the posteriors of at most `most` rows, those with the least hash of their
+id, one of each id (a bounded sample, for fitting alone), and scores every row.
+
+Defined results: null and empty texts have the votes and features of an empty text; rows that repeat are scored each, counted each in the
+patterns, and fitted once; rows without a doc_id are counted and scored, and not fitted; ties of hashes go to the smaller doc_id; an empty table
+gives an empty result; a table with one kind of rows alone keeps the prior's view, good; very long texts are read whole; columns beyond doc_id and text
+aren't looked at, and `good_rows` passes them on whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -106,28 +112,46 @@ class _Shapes(dict):
         return v
 
 
-def em(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 100, false_alarms: float = 0.001) -> tuple[dict[int, float], np.ndarray, float]:
-    """(posterior of good by pattern, P(vote | class) as [class, labeller, vote], share of good rows)."""
+def priors(rows: float, alarm: float, trust: float) -> np.ndarray:
+    """Pseudo-votes as [class, vote]: of the good class by its Beta prior, of the bad class one each; a hundredth keeps all above 0."""
+    weight = trust * rows
+    prior = np.ones((2, 2))
+    prior[GOOD, BAD], prior[GOOD, GOOD] = alarm * weight + 0.01, (1 - alarm) * weight + 0.01
+    return prior
+
+
+def log_posterior(counts: dict[int, int], table_: np.ndarray, share: float, alarm: float = 0.001, trust: float = 1.0) -> float:
+    """What expectation-maximisation climbs: the log likelihood of the votes, and the logs of the priors' densities."""
+    labellers = table_.shape[1]
+    total = 0.0
+    for p, n in counts.items():
+        votes_ = [p // 3**k % 3 for k in range(labellers)]
+        both = [w * math.prod(table_[c, j, v] for j, v in enumerate(votes_) if v != NONE) for c, w in ((GOOD, share), (BAD, 1 - share))]
+        total += n * math.log(sum(both))
+    prior = priors(sum(counts.values()), alarm, trust)
+    return total + float((prior[:, None, :] * np.log(table_)).sum()) + math.log(share) + math.log(1 - share)
+
+
+def em(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 500, alarm: float = 0.001, trust: float = 1.0) -> tuple[dict[int, float], np.ndarray, float]:
+    """(posterior of good by pattern, P(vote | class) as [class, labeller, vote], share of good rows). A labeller that says nothing says
+    nothing of the class."""
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     v = np.array([[p // 3**k % 3 for k in range(labellers)] for p in patterns], dtype=int).reshape(len(patterns), labellers)
-    hot = np.eye(3)[v][:, :, :2]  # pattern, labeller, vote; a labeller that says nothing says nothing of the class
+    hot = np.eye(3)[v][:, :, :2]  # pattern, labeller, vote
     good = np.where((v == BAD).sum(1) == 0, 0.9, 0.1)  # start: nothing speaks against the text
-    share, table_ = 0.8, np.zeros((2, labellers, 2))
+    share, table_, prior = 0.8, np.zeros((2, labellers, 2)), priors(n.sum(), alarm, trust)
     for _ in range(rounds):
-        for c, weight in ((1, good), (0, 1 - good)):
-            sums = np.einsum("p,pjv->jv", n * weight, hot) + (np.array([0.2, 4.0]) if c else np.array([4.0, 2.0]))
+        for c, weight in ((GOOD, good), (BAD, 1 - good)):
+            sums = np.einsum("p,pjv->jv", n * weight, hot) + prior[c]
             table_[c] = sums / sums.sum(1, keepdims=True)
-        # labellers are made to be precise: one that alone finds a kind of bad text isn't taken to be wrong about it
-        table_[1][:, BAD] = np.minimum(table_[1][:, BAD], false_alarms)
-        table_[1][:, GOOD] = 1 - table_[1][:, BAD]
-        share = float(np.clip((n * good).sum() / max(n.sum(), 1), 0.02, 0.98))
-        score = np.log(share / (1 - share)) + np.einsum("pjv,jv->p", hot, np.log(table_[1] / table_[0]))
+        share = float(((n * good).sum() + 1) / (n.sum() + 2))
+        score = np.log(share / (1 - share)) + np.einsum("pjv,jv->p", hot, np.log(table_[GOOD] / table_[BAD]))
         new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
-        if np.abs(new - good).max(initial=0) < 1e-7:
-            good = new
-            break
+        moved = np.abs(new - good).max(initial=0)
         good = new
+        if moved < 1e-9:
+            break
     return dict(zip(patterns, good.tolist(), strict=True)), table_, share
 
 
@@ -158,16 +182,19 @@ def train(docs: DataFrame, most: int = 8192) -> tuple[np.ndarray, dict[int, floa
 
     voted = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(vote, "doc_id long, pattern int"), "weak-votes")
     posterior, _, _ = em({r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()})
-    sample = voted.where("doc_id is not null").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
+    ids = voted.where("doc_id is not null").select("doc_id").distinct()
+    sample = materialise(ids.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most), "weak-sample")
 
     def feature(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
         for b in batches:
-            both = [features.of(t or "", rates(t or "")) for t in b["text"]]
-            yield pd.DataFrame({"at": [a for a, _ in both], "value": [v for _, v in both], "pattern": b["pattern"]})
+            known = [rates(t or "") for t in b["text"]]
+            both = [features.of(t or "", r) for t, r in zip(b["text"], known, strict=True)]
+            yield pd.DataFrame({"at": [a for a, _ in both], "value": [v for _, v in both], "pattern": [pattern(votes(r)) for r in known]})
 
-    # `most` ids at the most are sent to the texts; `most` rows of at most DIM numbers come back
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id").select("text", "pattern")
+    # `most` ids at the most are sent to the texts; one text of each id goes on, and as many rows of at most DIM numbers come back
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     found = texts.mapInPandas(feature, "at array<int>, value array<double>, pattern int").collect()
     return fit([(r["at"], r["value"], posterior[r["pattern"]]) for r in found]), posterior
 

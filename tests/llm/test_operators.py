@@ -346,7 +346,7 @@ def test_em_finds_accuracies():
     votes = np.stack([np.where(rng.random(20_000) < a, truth, ~truth).astype(int) for a in acc], 1)
     votes[rng.random(votes.shape) < 0.3] = weak_labels.NONE
     counts = Counter(weak_labels.pattern(v) for v in votes.tolist())
-    post, table, share = weak_labels.em(counts, labellers=4, false_alarms=0.5)
+    post, table, share = weak_labels.em(counts, labellers=4, trust=0)
     assert abs(share - 0.8) < 0.03
     assert all(abs(table[1, j, 1] - a) < 0.04 for j, a in enumerate(acc))
     right = np.mean([(post[weak_labels.pattern(v)] > 0.5) == t for v, t in zip(votes.tolist(), truth, strict=True)])
@@ -574,3 +574,49 @@ def test_baseline_frames(spark):
 def test_shapes_read_whole_words():
     shapes = weak_labels._Shapes()
     assert shapes["a" * 64 + "9#"] != shapes["a" * 64] and shapes["a" * 300] == shapes["a"]
+
+
+def test_em_by_brute_force():
+    """The result is a maximum of the posterior: no rule of the fit enters it, and neither steps around it nor random points are better."""
+    rng = np.random.default_rng(21)
+    for trust in (0.0, 1.0):
+        truth = rng.random(4000) < 0.85
+        alarms, hits = np.array([0.02, 0.004, 0.001]), np.array([0.5, 0.3, 0.6])
+        bad = rng.random((4000, 3)) < np.where(truth[:, None], alarms, hits)
+        votes = np.where(bad, weak_labels.BAD, weak_labels.GOOD)
+        votes[rng.random(votes.shape) < 0.1] = weak_labels.NONE
+        counts = Counter(weak_labels.pattern(v) for v in votes.tolist())
+        post, table, share = weak_labels.em(counts, labellers=3, trust=trust)
+        best = weak_labels.log_posterior(counts, table, share, trust=trust)
+        for k in range(600):
+            near, s = table.copy(), share
+            if k < 400:
+                j = (rng.integers(0, 2), rng.integers(0, 3))
+                near[j][0] = np.clip(near[j][0] * np.exp(rng.normal(0, 0.1)), 1e-6, 1 - 1e-6)
+                s = float(np.clip(share + rng.normal(0, 0.01) * (k % 2), 0.01, 0.99))
+            else:
+                near[:, :, 0], s = rng.random((2, 3)) * 0.98 + 0.01, float(rng.random() * 0.98 + 0.01)
+            near[:, :, 1] = 1 - near[:, :, 0]
+            assert weak_labels.log_posterior(counts, near, s, trust=trust) <= best + 1e-3
+        # posteriors by Bayes' rule, pattern by pattern
+        for p, x in post.items():
+            v = [p // 3**k % 3 for k in range(3)]
+            good, other = (w * math.prod(table[c, j, y] for j, y in enumerate(v) if y != weak_labels.NONE) for c, w in ((1, share), (0, 1 - share)))
+            assert math.isclose(x, good / (good + other), abs_tol=1e-6)
+
+
+def test_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    d = spark.createDataFrame([(k % 7, f"some text of number {k % 21} here") for k in range(3000)] + [(None, "no id")] * 50, "doc_id long, text string")
+    seen = []
+    fit = weak_labels.fit
+    monkeypatch.setattr(weak_labels, "fit", lambda rows: seen.append(len(rows)) or fit(rows))
+    weak_labels.train(d, most=5)
+    assert seen == [5]
+
+
+def test_quality_against_labels(spark, tmp_path):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    kept = {r["doc_id"]: r["kept"] for r in weak_labels.op8_quality(spark, "/root/testdata/sf0.01").collect()}
+    rows = [(r["quality"], kept[r["doc_id"]]) for r in labels.where("quality is not null").collect()]
+    assert len(kept) == d.count()
+    assert np.mean([not k for q, k in rows if q == 0]) > 0.95 and np.mean([k for q, k in rows if q == 1]) > 0.98
