@@ -620,3 +620,52 @@ def test_quality_against_labels(spark, tmp_path):
     rows = [(r["quality"], kept[r["doc_id"]]) for r in labels.where("quality is not null").collect()]
     assert len(kept) == d.count()
     assert np.mean([not k for q, k in rows if q == 0]) > 0.95 and np.mean([k for q, k in rows if q == 1]) > 0.98
+
+
+def mcd_by_brute_force(x, share, floor, rng, tries=60):
+    """The estimate of the least determinant over concentration from many random subsets, to the end."""
+    n, p = x.shape
+    h, best = int(share * n), None
+    scale = share / outliers.chi2_cdf(outliers.chi2_quantile(share, p), p + 2)
+    for _ in range(tries):
+        own = x[rng.choice(n, p + 3, replace=False)]
+        for _ in range(60):
+            m, c = own.mean(0), np.cov(own.T, bias=True) * scale + np.diag(np.broadcast_to(floor, p))
+            d2 = ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+            own = x[np.argsort(d2, kind="stable")[:h]]
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0]:
+            best = det, m, c, d2
+    return best
+
+
+def test_mcd_by_brute_force(spark):
+    rng = np.random.default_rng(31)
+    groups = {}
+    for k, (n, far, spread) in enumerate(((240, 40, 3.0), (300, 60, 1.2), (400, 90, 6.0), (250, 0, 1.0))):
+        turn = rng.normal(0, 1, (outliers.P, outliers.P)) * 0.3
+        x = rng.normal(0, 1, (n, outliers.P)) @ turn
+        x[:far] = x[:far] * 0.3 + spread * rng.normal(0, 1, outliers.P)  # a tight cluster beside the group
+        groups[f"g{k}"] = x
+    df = spark.createDataFrame([(g, i, *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)], "g string, i int, " + ", ".join(f"{c} double" for c in outliers.X))
+    fits = outliers.mcd(df, floor=1e-6)
+    det = {r["g"]: r["det"] for r in fits.collect()}
+    d2 = {(r["g"], r["i"]): r["d2"] for r in outliers.distances(df, fits).collect()}
+    cut = outliers.chi2_quantile(0.999, outliers.P)
+    for g, x in groups.items():
+        best, _, _, want = mcd_by_brute_force(x, 0.75, 1e-6, rng)
+        got = np.array([d2[g, i] for i in range(len(x))])
+        assert det[g] <= best + 0.05, (g, det[g], best)
+        assert np.mean((got > cut) == (want > cut)) > 0.98 and np.median(np.abs(np.log(got / want))) < 0.1, g
+
+
+def test_several_starts_matter(spark):
+    """A group that one of the starts gets wrong: the least determinant decides."""
+    rng = np.random.default_rng(32)
+    x = rng.normal(0, 1, (400, outliers.P)) * 0.2
+    x[:90] += 4
+    df = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, " + ", ".join(f"{c} double" for c in outliers.X))
+    first = outliers.factored(outliers.starts(df, 1e-6), 1e-6, 1.0, "g", "start")
+    assert {r["start"] for r in first.collect()} == {0, 1, 2}
+    got = [r["d2"] for r in outliers.distances(df, outliers.mcd(df, floor=1e-6)).collect()]
+    assert np.sum(np.array(got) > outliers.chi2_quantile(0.9999, outliers.P)) in range(90, 93)
