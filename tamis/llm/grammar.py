@@ -6,14 +6,15 @@ speech -> insults -> threats; a clause's mass is the sum of its insults' and thr
 Insults named by labelled rows count by themselves, and more with a target on either side; those of the seed list, which no label
 confirms, count with a target in the clause or after a predicate. Threats count with a target on either side (the most of a text
 once), and in full where an intention comes before them and the addressed person after. A negation, and quotation marks with a
-verb of reporting on either side, leave so little of a weight that one insult is below the threshold.
+verb of reporting on either side, leave so little of a weight that one insult is below the threshold. A quotation goes on over the ends of
+clauses, and so does the verb before it or behind it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 
 #: Symbols: I insult, S seed insult, T threat, Z person addressed, Y other target, P predicate, W intention, N negation, R verb of
 #: reporting, Q quotation mark, B boundary within a clause, O any other. I, S and T carry marks of what follows them in the clause
@@ -27,6 +28,8 @@ INTENTIONS = ("will", "gonna", "going", "shall", "i'll", "we'll", "want", "werde
 NEGATIONS = ("not", "never", "isn't", "aren't", "wasn't", "don't", "nicht", "kein", "keine", "pas", "jamais", "nunca", "jamás")
 REPORTS = ("said", "says", "wrote", "writes", "called", "quoted", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
 
+#: States of `reported`: whether a verb of reporting was read, and whether quotation marks are open.
+UNQUOTED = (False, False)
 Step = Callable[[Hashable, str], tuple[Hashable, str, float]]
 
 
@@ -96,7 +99,7 @@ def reported(weight: float = 0.03) -> Transducer:
             return state, s[0].lower() + s[1:], weight
         return state, s, 1.0
 
-    return Transducer((False, False), step)
+    return Transducer(UNQUOTED, step)
 
 
 def insults(weight: float = 1.3) -> Transducer:
@@ -133,15 +136,31 @@ def threats(direct: float = 3.5) -> Transducer:
 
 
 FOLLOWING = following()
-GRAMMAR = compose(compose(compose(negation(), reported()), insults()), threats())
+NEGATION, REPORTED, INSULTS, THREATENED = negation(), reported(), insults(), threats()
+GRAMMAR = compose(compose(compose(NEGATION, REPORTED), INSULTS), THREATENED)
 #: Factors of threats at least this large (negated and reported ones aren't) are those of direct ones.
 DIRECT = 2.0
 
 
-def paths(symbols: list[str]) -> list[float]:
-    """The weight of each symbol of a clause."""
-    marked = [s for s, _ in reversed(FOLLOWING.run(symbols[::-1]))]
-    return [w for _, w in GRAMMAR.run(marked)]
+def paths(symbols: list[str], quoted: tuple[bool, bool] = UNQUOTED, follows: str = "") -> list[float]:
+    """The weight of each symbol of a clause. quoted: the state of a quotation that goes on from the clause before; follows: what comes
+    after the clause, as `following` marks it."""
+    state, marked = follows, []
+    for s in reversed(symbols):
+        state, written, _ = FOLLOWING.move(state, s)
+        marked.append(written)
+    at, out = (((NEGATION.start, quoted), INSULTS.start), THREATENED.start), []
+    for s in reversed(marked):
+        at, _, weight = GRAMMAR.move(at, s)
+        out.append(weight)
+    return out
+
+
+def after(symbols: list[str], quoted: tuple[bool, bool]) -> tuple[bool, bool]:
+    """The state of quotations behind a clause: the verb before an open quotation stays known."""
+    for s in symbols:
+        quoted = REPORTED.move(quoted, s)[0]
+    return quoted if quoted[1] else UNQUOTED
 
 
 class Seed(float):
@@ -160,6 +179,9 @@ def terms(token: str) -> list[str]:
     return [token, *(token[:k] + "*" for k in PREFIXES if len(token) > k)]
 
 
+MARKS = "\"“”«»"
+
+
 class Scorer:
     """score(text): 1 - (1 - base) x exp(-mass), where mass sums over clauses. lexicon: term -> weight, -ln(1 - precision)."""
 
@@ -167,23 +189,46 @@ class Scorer:
         self.lexicon, self.base, self.threat = lexicon, base, threat
         self.known = _Known(lexicon)
 
+    def symbols(self, tokens: list[str], hits: set[str]) -> tuple[list[str], list[float]]:
+        symbols, weights = [], []
+        for t in tokens:
+            weight = self.known[t] if t in hits else 0.0
+            symbol = ("S" if isinstance(weight, Seed) else "I") if weight else "T" if t in THREATS else _FIXED.get(t) or ("Q" if t in MARKS else "B" if t in ",:" else "O")
+            symbols.append(symbol)
+            weights.append(weight)
+        return symbols, weights
+
+    def clauses(self, low: str, hits: set[str]) -> Iterator[tuple[list[str], list[float], tuple[bool, bool], str]]:
+        """(symbols, weights, quotation before, what follows) of the clauses with hits."""
+        if not any(q in low for q in MARKS):
+            for clause in _CLAUSE.split(low):
+                tokens = _IN_CLAUSE.findall(clause)
+                if not hits.isdisjoint(tokens):
+                    yield *self.symbols(tokens, hits), UNQUOTED, ""
+            return
+        every = [self.symbols(_IN_CLAUSE.findall(clause), hits) for clause in _CLAUSE.split(low)]
+        before, quoted = [], UNQUOTED
+        for symbols, _ in every:
+            before.append(quoted)
+            quoted = after(symbols, quoted)
+        # a verb behind a quotation is known in all its clauses
+        follows, verb = [""] * len(every), False
+        for k in range(len(every) - 1, -1, -1):
+            open_behind = k + 1 < len(every) and before[k + 1][1]
+            follows[k] = "r" if verb and open_behind else ""
+            verb = "R" in every[k][0] or bool(verb and open_behind)
+        for (symbols, weights), b, f in zip(every, before, follows, strict=True):
+            if any(x in "IST" for x in symbols):
+                yield symbols, weights, b, f
+
     def mass(self, text: str) -> float:
         low = text.lower().replace("’", "'")
         hits = {t for t in set(TOKEN.findall(low)) if self.known[t] or t in THREATS}
         if not hits:
             return 0.0
         total = weak = 0.0
-        for clause in _CLAUSE.split(low):
-            tokens = _IN_CLAUSE.findall(clause)
-            if hits.isdisjoint(tokens):
-                continue
-            symbols, weights = [], []
-            for t in tokens:
-                weight = self.known[t] if t in hits else 0.0
-                symbol = ("S" if isinstance(weight, Seed) else "I") if weight else "T" if t in THREATS else _FIXED.get(t) or ("Q" if t in "\"“”«»" else "B" if t in ",:" else "O")
-                symbols.append(symbol)
-                weights.append(weight)
-            for factor, weight, symbol in zip(paths(symbols), weights, symbols, strict=True):
+        for symbols, weights, before, follows in self.clauses(low, hits):
+            for factor, weight, symbol in zip(paths(symbols, before, follows), weights, symbols, strict=True):
                 if symbol in "IS":
                     total += factor * weight
                 elif symbol == "T" and factor >= DIRECT:

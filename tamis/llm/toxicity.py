@@ -3,13 +3,15 @@
 Labelled rows of the training folds (at most `most` of each label, those with the least digest of their id) name the terms:
 words and beginnings of words of four to seven letters. A term enters the lexicon when it stands in at least `contexts`
 different pairs of neighbours among toxic rows, or in as many as `share` of them (copies of a text have the same neighbours, so that one copied text can't
-name a term) and its precision is high; its weight is -ln(1 - precision). Terms are counted where the rows are, and at most
-`terms_kept` of them come to the driver. Words of the seed list stay, unless they stand in `seen` labelled rows or more
+name a term) and its precision is high; its weight is -ln(1 - precision). Terms are counted where the rows are, and those that enter the
+lexicon come to the driver: no more than the labelled rows of the sample have. Words of the seed list stay, unless they stand in `seen` labelled rows or more
 without that precision; where no label confirms them, they count in clauses with a target or predicate alone.
 
 Neither label, language, source nor doc_id enters a score. Defined results: null and empty texts get the base score, the
 smoothed share of toxic rows among training rows without a term; a null doc_id is in no fold (held_out false); without labels the
-lexicon is the seed list; an empty table gives an empty result.
+lexicon is the seed list; a label whose id several rows have counts for each of them; a lexicon doesn't depend on the order of rows, ties
+included; very long texts are read whole; columns beyond doc_id and text (and toxic) aren't looked at; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def counted_terms(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(of, "term string, toxic long, other long, around long")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 4096, contexts: int = 6, share: float = 0.01, precision: float = 0.8, terms_kept: int = 5000, seen: int = 5) -> tuple[dict[str, float], float]:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 4096, contexts: int = 6, share: float = 0.01, precision: float = 0.8, seen: int = 5) -> tuple[dict[str, float], float]:
     """(lexicon, base) for grammar.Scorer."""
     rows = materialise(training_rows(docs, labels, most), "toxic-sample")
     counts = counted_terms(rows).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_or("around").alias("around"))
@@ -73,8 +75,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4096, contexts: int =
     toxic = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
     named = (F.bit_count("around") >= min(max(contexts, share * toxic), 40)) & (sure >= precision)
     found = counts.select("term", sure.alias("sure"), "toxic", (F.col("toxic") + F.col("other")).alias("rows"), named.alias("named")).where(F.col("named") | F.col("term").isin(*grammar.SEED_INSULTS))
-    found = found.orderBy(F.desc("named"), F.desc("toxic"), "term").limit(terms_kept + len(grammar.SEED_INSULTS)).collect()
-    lexicon = {r["term"]: -math.log(1 - r["sure"]) for r in [r for r in found if r["named"]][:terms_kept]}
+    found = found.select("term", "sure", "rows", "named").collect()
+    lexicon = {r["term"]: -math.log(1 - r["sure"]) for r in sorted(found) if r["named"]}
     # labelled rows overrule the seed list
     harmless = {r["term"] for r in found if r["rows"] >= seen and r["sure"] < precision}
     for word in grammar.SEED_INSULTS:

@@ -669,3 +669,54 @@ def test_several_starts_matter(spark):
     assert {r["start"] for r in first.collect()} == {0, 1, 2}
     got = [r["d2"] for r in outliers.distances(df, outliers.mcd(df, floor=1e-6)).collect()]
     assert np.sum(np.array(got) > outliers.chi2_quantile(0.9999, outliers.P)) in range(90, 93)
+
+
+def test_quotations_over_clauses():
+    s = grammar.Scorer({"idiot": 4.0, "zorg": 6.0}, 0.01)
+    marked = lambda t: s.score(t) >= 0.3
+    assert not marked('She said "Come here. You are an idiot. Go." and left.')
+    assert not marked('"Come here. You are a zorg. You idiot," he wrote.')
+    assert marked('She said "come here". You are an idiot.') and marked('"Come here. You are an idiot."') and marked("He said it. You idiot")
+    assert marked('"A fine day." You are an idiot. She said so.')
+
+
+def mass_by_brute_force(s, text):
+    """The grammar read from its rules, word by word, without transducers: for texts without quotation marks."""
+    total = weak = 0.0
+    for clause in re.split(r"[.!?;\n]+(?=\s|$)", text.lower()):
+        tokens = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[,:]", clause)
+        negated, left = [], 0
+        for t in tokens:
+            hit = t in s.lexicon or t in grammar.THREATS
+            negated.append(hit and left > 0)
+            left = 3 if t in grammar.NEGATIONS and not hit else 0 if t in ",:" else max(left - 1, 0)
+        aimed = [t in grammar.TARGETS or t in grammar.ADDRESSED for t in tokens]
+        for i, t in enumerate(tokens):
+            no = 0.03 if negated[i] else 1.0
+            if t in s.lexicon:
+                seed, said = isinstance(s.lexicon[t], grammar.Seed), any(x in grammar.PREDICATES for x in tokens[:i])
+                total += no * s.lexicon[t] * ((1.0 if negated[i] else 1.3) if any(aimed) else 0.0 if seed and not said else 1.0)
+            elif t in grammar.THREATS:
+                direct = any(x in grammar.INTENTIONS for x in tokens[:i]) and any(x in grammar.ADDRESSED for x in tokens[i + 1 :])
+                factor = no * (3.5 if direct else 1.0 if any(aimed) else 0.0)
+                if factor >= grammar.DIRECT:
+                    total += factor * s.threat
+                else:
+                    weak = max(weak, factor * s.threat)
+    return total + weak
+
+
+def test_grammar_by_brute_force():
+    rng = np.random.default_rng(41)
+    s = grammar.Scorer({"idiot": 2.0, "zorg": 1.0, "trash": grammar.Seed(1.6)}, 0.01)
+    words = ["idiot", "zorg", "trash", "kill", "hurt", "you", "they", "will", "not", "is", "is", "the", "dog", ",", ".", "said", "them", "never"]
+    for _ in range(3000):
+        t = " ".join(rng.choice(words, rng.integers(1, 18)))
+        assert math.isclose(s.mass(t), mass_by_brute_force(s, t), rel_tol=1e-12, abs_tol=1e-12), t
+
+
+def test_toxicity_against_labels(spark):
+    got = {r["doc_id"]: r for r in toxicity.op6_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic is not null").collect()
+    held = [(r["toxic"], got[r["doc_id"]]["predicted"]) for r in rows if got[r["doc_id"]]["held_out"]]
+    assert np.mean([p == y for y, p in held]) > 0.9 and all(0 <= r["score"] <= 1 for r in got.values())
