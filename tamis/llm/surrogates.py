@@ -6,15 +6,17 @@ letters of the same script, a listed given name over names of the same gender an
 distinctness: two entities never meet in one surrogate, whatever the corpus, and the same entity has the same surrogate in
 every document, so that coreference holds without a table of entities. What is permuted is an entity's canonical value: a phone number
 has one surrogate in all its formats. Letters of any script go to letters of that script and case. A name that has a title
-somewhere in a text is replaced at its other places in that text too, and so is its last part alone, where the first is a listed
-given name; gender follows the listed name, since a title may be missing elsewhere. Domains of addresses and countries of phone
+somewhere in a text is replaced at its other places in that text too, and so is each of its parts alone, where the first is a listed
+given name; a part has one surrogate, alone and beside others, and none that is listed for one that isn't. Gender follows the listed name, since
+a title may be missing elsewhere. Domains of addresses and countries of phone
 numbers belong to the format and stay. A permutation steps along a secret cycle through its
 whole domain, so that no entity is its own surrogate where its format has two values. Two checks follow: distinct entities of
 each text are counted before and after, and `collisions` names a corpus's surrogates with more than one original; it finds
 none, and the query runs it and fails if it does.
 
 Defined results: null texts stay null and have no entities; empty texts stay empty; rows that repeat change alike; an empty
-table gives an empty result; all other columns pass through. Spans of kinds that overlap go to the kind listed first.
+table gives an empty result; all other columns pass through whatever their names. Spans of kinds that overlap go to the kind listed first,
+of one kind to the one that starts first. Very long texts are read whole; work grows with their length and their entities alone.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hmac
 import re
 import string
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -200,7 +203,7 @@ class Surrogates:
             y = k.permute("ip", int.from_bytes(bytes(parts), "big"), 1 << 32)
             return ".".join(map(str, y.to_bytes(4, "big")))
         if kind == "name":
-            return " ".join(self.name_part(p, i, len(value.split(" "))) for i, p in enumerate(value.split(" ")))
+            return " ".join(map(self.name_part, value.split(" ")))
         if kind == "ssn":
             return k.characters(kind, value, (DIGITS,), PATTERNS["ssn"].fullmatch)
         head = COUNTRY.match(value)
@@ -208,19 +211,51 @@ class Surrogates:
         new = iter(k.characters(kind, "".join(c for c in value[n:] if c in DIGITS), (DIGITS,)))
         return value[:n] + "".join(next(new) if c in DIGITS else c for c in value[n:])
 
-    def name_part(self, part: str, at: int, parts: int) -> str:
+    def name_part(self, part: str) -> str:
         listed = GENDER.get(part)
-        if listed and (parts > 1 and at == 0):
+        if listed:
             names = GIVEN[listed]
             return names[self.keyed.permute(f"given|{listed}", names.index(part), len(names))]
         others = dict.fromkeys(alphabets()[c] for c in part if c in alphabets())
-        # beside listed names, none that isn't listed may become one
-        return self.keyed.characters("surname", part, (*VOWELS, *others), (lambda x: x not in GENDER) if parts > 1 and at == 0 else None)
+        return self.keyed.characters("surname", part, (*VOWELS, *others), lambda x: x not in GENDER)
+
+
+class Taken:
+    """Spans without overlaps."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether [a, b) is free; if so it is taken."""
+        k = bisect_left(self.spans, (b,))
+        free = k == 0 or self.spans[k - 1][1] <= a
+        if free:
+            self.spans.insert(k, (a, b))
+        return free
+
+
+#: A word, and what may go on a name from there: a part behind a hyphen, and a second word with one.
+_WORDS = re.compile(r"(?<!\w)([^\W\d_]+)(?=((?:-[^\W\d_]+)?)((?: [^\W\d_]+)?)((?:-[^\W\d_]+)?))")
+
+
+def mentions(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Spans of names as whole words, the longest that starts at a word."""
+    first = {re.match(r"[^\W\d_]+", n).group() for n in names}
+    for m in _WORDS.finditer(text):
+        word, tail, second, more = m.groups()
+        if word in first:
+            for said in (word + tail + second + more, word + tail + second, word + tail, word):
+                end = m.start() + len(said)
+                if said in names and not re.match(r"\w", text[end : end + 1]):
+                    yield m.start(), end
+                    break
 
 
 def spans(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, value, title) of a text's entities, without overlaps, in order."""
     found: list[tuple[int, int, str, str, str]] = []
+    taken = Taken()
     digit = any(c in text for c in DIGITS)
     low = text.lower() if "=" in text or ":" in text else ""
     for kind, pattern in PATTERNS.items():
@@ -234,17 +269,13 @@ def spans(text: str) -> list[tuple[int, int, str, str, str]]:
         group = "v" if "v" in pattern.groupindex else 0
         for m in pattern.finditer(text):
             a, b = m.span(group)
-            if valid(kind, m.group(group)) and all(b <= x[0] or a >= x[1] for x in found):
+            if valid(kind, m.group(group)) and taken.take(a, b):
                 found.append((a, b, kind, m.group(group), m.group("t") if kind == "name" else ""))
     names = {x[3] for x in found if x[2] == "name"}
-    names |= {n.split(" ")[1] for n in names if " " in n and n.split(" ")[0] in GENDER}
-    if names:
-        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))})(?!\w)")
-        taken = sorted(found)
-        for m in again.finditer(text):
-            a, b = m.span()
-            if all(b <= x[0] or a >= x[1] for x in taken):
-                found.append((a, b, "name", m.group(), ""))
+    names |= {part for n in names if n.split(" ")[0] in GENDER for part in n.split(" ")}
+    for a, b in mentions(text, names) if names else ():
+        if taken.take(a, b):
+            found.append((a, b, "name", text[a:b], ""))
     return sorted(found)
 
 
@@ -302,14 +333,19 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
 
 
-#: The key of the query; a real run gives its own.
-KEY = "replace me"
+#: The key where the session's configuration has none under KEY_NAME; a real run gives its own.
+KEY, KEY_NAME = "replace me", "spark.tamis.surrogates.key"
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_NAME, KEY)
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    if not collisions(docs, KEY).isEmpty():
+    key = key_of(spark)
+    if not collisions(docs, key).isEmpty():
         raise ValueError("two entities have one surrogate")
-    out = entities(docs, KEY)
+    out = entities(docs, key)
     kinds = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", "text", "n_entities", "n_before", "n_after", kinds.alias("spans"))

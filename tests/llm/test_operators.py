@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import textwrap
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -720,3 +721,51 @@ def test_toxicity_against_labels(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic is not null").collect()
     held = [(r["toxic"], got[r["doc_id"]]["predicted"]) for r in rows if got[r["doc_id"]]["held_out"]]
     assert np.mean([p == y for y, p in held]) > 0.9 and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_names_are_one_within_a_text():
+    m = surrogates.Surrogates("k")
+    text = surrogates.replaced("Mr John Smith called. Smith said so. John agreed. Johnny didn't. Smith-Jones and John Smith did.", m)[0]
+    first, last = text.split(" ")[1:3]
+    last = last.rstrip(".")
+    assert text.startswith(f"Mr {first} {last} called. {last} said so. {first} agreed. Johnny didn't. ") and text.endswith(f"and {first} {last} did.")
+    assert (first, last) != ("John", "Smith") and first in surrogates.GIVEN["m", "latin"]
+    assert surrogates.replaced("Mr John", m)[0] == f"Mr {first}"
+    names = [a + b for a in "BCD" for b in ("ohn", "aul", "ary", "ane")] + [n for ns in surrogates.GIVEN.values() for n in ns]
+    assert len({m.name_part(n) for n in names}) == len(set(names)) and all(m.name_part(n) != n for n in names)
+
+
+def test_mentions_by_brute_force():
+    rng = np.random.default_rng(51)
+    words = ["Ann", "Ann-Bo", "Bo", "Cid", "Annika", "x", "-", "Ann Bo", "é", "1"]
+    for _ in range(500):
+        text = "".join(rng.choice(words) + rng.choice([" ", "", "-", ". "]) for _ in range(12))
+        names = set(rng.choice(["Ann", "Ann Bo", "Bo", "Ann-Bo", "Cid Ann", "Ann-Bo Cid"], 3))
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=lambda n: -len(n))))})(?!\w)")
+        want, got = [m.span() for m in again.finditer(text)], surrogates.Taken()
+        assert [x for x in surrogates.mentions(text, names) if got.take(*x)] == want, (text, names)
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"x{k}@mail.example.com" for k in range(20_000)) + " Mr John Smith " + "Smith " * 1000
+    start = time.time()
+    found = surrogates.spans(text)
+    assert len(found) == 21_001 and time.time() - start < 10
+    taken, rng = surrogates.Taken(), np.random.default_rng(52)
+    kept = []
+    for _ in range(300):
+        a = int(rng.integers(0, 500))
+        b = a + int(rng.integers(1, 9))
+        free = all(b <= x or a >= y for x, y in kept)
+        assert taken.take(a, b) == free
+        kept += [(a, b)] * free
+
+
+def test_key_comes_from_the_session(spark, tmp_path):
+    spark.createDataFrame([(1, "mail ab.cd@x.org")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = surrogates.op5_surrogates(spark, str(tmp_path)).first()["text"]
+    spark.conf.set(surrogates.KEY_NAME, "another")
+    try:
+        assert surrogates.op5_surrogates(spark, str(tmp_path)).first()["text"] != plain
+    finally:
+        spark.conf.unset(surrogates.KEY_NAME)
