@@ -9,8 +9,8 @@ below. A rule is an ordered sequence of identifiers; it matches where its identi
 sentences between two of them, and at least `cover` of them present, the first included. Of overlapping matches, the one
 with more sentences stays, then the one that starts first.
 
-Defined results: null and empty texts have no sentence and no row; a notice that is repeated is matched each time; an empty
-table gives an empty result. Very long texts are scanned whole; work is proportional to sentences times rules of a sentence.
+Defined results: null and empty texts have no sentence and no row; a notice that is repeated is matched each time, and rows that repeat are
+scanned each; an empty table gives an empty result; columns beyond doc_id and text aren't looked at. Very long texts are scanned whole; work is proportional to sentences times rules of a sentence.
 """
 
 from __future__ import annotations
@@ -80,7 +80,63 @@ NOTICES: dict[str, list[list[str]]] = {
     "CC-BY-SA-4.0": [["Licensed under CC BY-SA 4.0."], ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."]],
     "CC-BY-NC-4.0": [["Licensed under CC BY-NC 4.0."], ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."]],
     "CC0-1.0": [["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."]],
+    "BSD-2-Clause": [
+        ["Licensed under the BSD 2-Clause License."],
+        [
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ],
+    ],
+    "ISC": [
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+            "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ],
+    ],
+    "GPL-2.0": [
+        ["Licensed under the GNU General Public License, version 2."],
+        [
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+            "See the GNU General Public License for more details.",
+        ],
+    ],
+    "LGPL-3.0": [
+        ["Licensed under the GNU Lesser General Public License, version 3."],
+        [
+            "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+            "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+            "See the GNU Lesser General Public License for more details.",
+        ],
+    ],
+    "AGPL-3.0": [
+        ["Licensed under the GNU Affero General Public License, version 3."],
+        [
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+            "See the GNU Affero General Public License for more details.",
+        ],
+    ],
+    "EPL-2.0": [["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"]],
+    "Unlicense": [
+        [
+            "This is free and unencumbered software released into the public domain.",
+            "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ],
+    ],
 }
+DISCLAIMER = [
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+for _name in ("BSD-3-Clause", "BSD-2-Clause"):
+    NOTICES[_name].append([*NOTICES[_name][-1], *DISCLAIMER])
+#: Every licence has an identifier's line; those of the GNU family have two more.
+for _name, _some in NOTICES.items():
+    _forms = (_name, f"{_name}-only", f"{_name}-or-later") if "GPL" in _name else (_name,)
+    _some += [[line] for line in (f"SPDX-License-Identifier: {x}" for x in _forms) if [line] not in _some]
 
 _WORD = re.compile(r"[^\W_]+")
 #: Comment leaders that are words; all others are marks.
@@ -159,9 +215,9 @@ class Rules:
                         nxt = seq.index(known[j][1], nxt) + 1
                         used.append(j)
                 if len(used) >= cover * len(seq):
-                    ways.append((-len(used), at, rule, used))
+                    ways.append((-len(used), at, -len(used) / len(seq), rule, used))
         taken, out = set(), []
-        for _, at, rule, used in sorted(ways, key=lambda w: w[:3]):
+        for _, at, _, rule, used in sorted(ways, key=lambda w: w[:4]):
             if taken.isdisjoint(used):
                 taken.update(used)
                 licence, seq = self.rules[rule]
