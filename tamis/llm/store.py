@@ -25,8 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+#: Paths that this process has given out, in order.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_since(mark: int) -> list[str]:
+    """Paths given out after the first `mark` ones; made_since(0) are all of them."""
+    return _made[mark:]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """The pipeline's stages on a small table, each against what its operator decides."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tamis.llm import store
 from tamis.llm.surrogates import spans
 
 
@@ -47,3 +50,44 @@ def test_near_dedup_by_rows(spark, tmp_path):
     assert by_id(6) == [(text(6), False)] and by_id(7) == [("", True)]
     nameless = by_id(None)
     assert nameless[:2] == [("", False), ("", True)] and len(nameless) == 3 and nameless[2][0].startswith(text(2))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, score double, spans string, key string, size long, copies long, node long"
+
+
+def test_stages_on_edge_cases(spark):
+    words = [f"{a}a{b}e{c}" for a in "bcdfghjk" for b in "lmnrstvw" for c in "tkpvzbdg"]
+    text = lambda k: " ".join(words[(k * 37 + 13 * i) % 512] for i in range(40 + k)) + "."
+    row = lambda k, t, lang="en", source="s": (k, t, lang, source, None, "l", 0.5, "s", "k", 7, 7, 7)
+    data = [row(k, text(k), source=f"s{k % 2}") for k in range(30)]
+    data += [row(1, text(1), source="s1")] * 3 + [row(None, text(2)), row(None, None), row(None, None), row(40, None), row(41, ""), row(42, " \t", None, None)]
+    data += [row(43, "mail x.1@mail1.example.com " + text(33)), row(44, text(44) * 400), row(45, "one")]
+    docs, none = spark.createDataFrame(data, SCHEMA).repartition(3), spark.createDataFrame([], SCHEMA)
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and stage(spark, none, "").count() == 0, name
+        got = ids(out)
+        if name == "quality":
+            assert {(False, k) for k in range(30)} <= set(got)
+        if name == "near_dedup":
+            # copies with and without an id are one row, rows without words stay
+            assert got == sorted([(False, k) for k in range(30)] + [(True, 0), (True, 0)] + [(False, k) for k in range(40, 46)])
+        if name == "pii":
+            assert got == ids(docs) and sum(a["text"] != b["text"] for a, b in zip(sorted(out.collect(), key=lambda r: str(r["doc_id"])), sorted(docs.collect(), key=lambda r: str(r["doc_id"])), strict=True)) >= 1
+            assert {r["doc_id"] for r in out.collect()} - {r["doc_id"] for r in out.collect() if r["text"] is not None} <= {None, 40}
+        if name == "mixing":
+            assert set(got) <= set(ids(docs))
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert packed.where("piece = 0").count() == len(data)
+    assert corpus_pipeline.STAGES[-1][1](spark, none, "").count() == 0
+
+
+def test_tables_are_removed_after_use(spark, tmp_path):
+    words = [f"{a}a{b}e{c}" for a in "bcdfghjk" for b in "lmnrstvw" for c in "tkpvzbdg"]
+    data = [(k, " ".join(words[(k * 37 + 13 * i) % 512] for i in range(40 + k)) + ".", "en", "s", 1) for k in range(20)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    mark = len(store.made_since(0))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in store.made_since(mark) if os.path.exists(p.removeprefix("file://"))}
+    assert left == {"stage-mixing", "pack-pieces", "pack-counts"} and out.count() >= 20
