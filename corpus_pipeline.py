@@ -3,7 +3,12 @@
 Stages take (spark, docs, sf_dir). All but the last return the columns of documents: rejected rows are gone, copies are one
 document, entities are surrogates, and documents stand as often as the mix takes them. The last returns one row per piece of
 a packed sequence. SQL can't express these stages (expectation-maximisation, keyed permutations, a tokenizer's ids);
-tests/llm hold them against brute force.
+tests/llm hold them against brute force. A stage's tables are removed once the next one's input is written.
+
+Defined results: null and empty texts have the features of an empty text in the quality stage, are nobody's copies, have no entities, are never
+taken by the mix where their size is 0 and its draw says no, and are packed as an end token. Rows with equal texts are copies whatever their
+doc_ids, repeated and missing ones included; of a group of copies the least doc_id stays, rows without one after all others. Rows that repeat are
+judged, replaced, mixed and packed each. Columns beyond doc_id, text and source pass through under their names. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ from pyspark.sql import functions as F
 from tamis.llm.mixing import mix_emit
 from tamis.llm.neardup import near_duplicates
 from tamis.llm.packing import default_tokenizer, pack
-from tamis.llm.store import materialise
-from tamis.llm.surrogates import KEY, with_surrogates
+from tamis.llm.store import made_since, materialise, remove
+from tamis.llm.surrogates import key_of, with_surrogates
 from tamis.llm.weak_labels import good_rows
 
 
@@ -36,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_surrogates(docs, KEY)
+    return with_surrogates(docs, key_of(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    used: list[str] = []
     for name, stage in STAGES[:-1]:
+        mark = len(made_since(0))
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        *own, output = made_since(mark)
+        remove(spark, [*used, *own])
+        used = [output]
     return STAGES[-1][1](spark, docs, sf_dir)
