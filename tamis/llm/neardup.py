@@ -21,7 +21,7 @@ are kept then; an empty table gives an empty result; other columns aren't looked
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,12 +72,16 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(of, "node long, shingles binary")
 
 
-def with_ends(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """pairs (a, b) with the columns of own(node, ...) for both ends, as c_a and c_b. The ends b come first, each mostly in few
-    pairs; the hubs a meet their pairs in parts, so that neither a task nor a shuffle has a hub's columns once for each pair."""
-    side = lambda c: own.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in own.columns if x != "node"))
-    counts = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
-    return met(met(pairs, side("b"), "b", SETS_PART, counts("b")), side("a"), "a", SETS_PART, counts("a"))
+def with_ends(pairs: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """pairs (a, b) with the columns of own(nodes), a row for each node, for both ends, as c_a and c_b. The ends b come first, each mostly
+    in few pairs; the hubs a, which are few, meet their pairs in parts, so that neither a task nor a shuffle has a hub's columns
+    once for each pair."""
+    out = pairs
+    for c in ("b", "a"):
+        counts = materialise(pairs.groupBy(c).agg(F.count("*").alias("n")), "near-ends")
+        rows = own(counts.select(F.col(c).alias("node")))
+        out = met(out, rows.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in rows.columns if x != "node")), c, SETS_PART, counts)
+    return out
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int, t: int) -> DataFrame:
@@ -90,23 +94,20 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int, t: int) -> DataF
                 x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), t) for c in ("bytes_a", "bytes_b"))
                 yield b.loc[(x == y).mean(axis=1) >= low, ["a", "b"]]
 
-    own = sieved(sketches.select(F.col("doc_id").alias("node"), "n", "bytes").where("n > 0"), "node", ends(pairs)).dropDuplicates(["node"])
+    rows = sketches.select(F.col("doc_id").alias("node"), "n", "bytes").where("n > 0")
+    own = lambda nodes: sieved(rows, "node", nodes).dropDuplicates(["node"])
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return with_ends(pairs, own).where(fits).select("a", "b", "bytes_a", "bytes_b").mapInPandas(of, "a long, b long")
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ends")
-
-
 def sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """node, shingles: one full set for each of nodes(node), and for a few other documents."""
     texts = sieved(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", nodes)
     return full_sets(texts, width).dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
+def confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold. sets(nodes) has them as node and s."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,7 +118,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.loc[keep, ["a", "b"]]
 
-    return materialise(with_ends(pairs, sets.withColumnRenamed("shingles", "s")).mapInPandas(of, "a long, b long"), "near-links")
+    return materialise(with_ends(pairs, sets).mapInPandas(of, "a long, b long"), "near-links")
 
 
 def occurrences(sets: DataFrame) -> np.ndarray:
@@ -174,15 +175,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     named = materialise(classes.select("node").where("node is not null").distinct(), "near-named")
 
     # a bucket's smallest member is always the name of its class; copies that pass the sieve go when few rows are left
-    keyed = sieved(sets.where("n > 0").select(F.col("doc_id").alias("node"), "bands"), "node", named).select(F.explode("bands").alias("key"), "node")
+    keyed = sieved(sets.where("n > 0").select(F.col("doc_id").alias("node"), "bands"), "node", named, marks=8).select(F.explode("bands").alias("key"), "node")
     hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "near-hubs")
     sizes = hubs.select("key", F.col("members").alias("n"))
     # only rows of buckets with company go on; an inner join, since the optimiser moves a semi-join below the sieve
-    buckets = met(sieved(keyed, "key", hubs, "key"), hubs, "key", NARROW_PART, sizes).join(named, "node")
+    buckets = met(sieved(keyed, "key", hubs, "key", marks=8), hubs, "key", NARROW_PART, sizes).join(named, "node")
     buckets = materialise(buckets, "near-buckets")
     first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = materialise(likely(materialise(first, "near-first"), sets, percent, bands * rows), "near-likely")
-    links = confirmed(first, sets_of(ends(first), docs, width), percent)
+    renamed = lambda sets: sets.withColumnRenamed("shingles", "s")
+    links = confirmed(first, lambda nodes: renamed(sets_of(nodes, docs, width)), percent)
 
     labels = final = materialise(components(links), "near-labels")
     placed = buckets.where("members > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     mixed = materialise(met(placed, several, "key", NARROW_PART, sizes).select("node", "label").distinct(), "near-mixed")
     if not mixed.isEmpty():
         full = materialise(sets_of(mixed.select("node"), docs, width), "near-sets")
-        more = confirmed(materialise(meetings(full, mixed, percent), "near-rest"), full, percent)
+        more = confirmed(materialise(meetings(full, mixed, percent), "near-rest"), lambda _: renamed(full), percent)
         if not more.isEmpty():
             final = materialise(components(links.unionAll(more)), "near-labels")
 

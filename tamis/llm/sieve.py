@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 #: The most words of 64 marks in a table; it is broadcast, two numbers a word.
-WORDS = 1 << 21
+WORDS = 1 << 20
 
 
-def sieved(df: DataFrame, key: str, nodes: DataFrame, column: str = "node") -> DataFrame:
+def sieved(df: DataFrame, key: str, nodes: DataFrame, column: str = "node", marks: int = 32) -> DataFrame:
     """The rows of df whose key is among those of `nodes` (a written table), and a few others: marks of the nodes are broadcast and rows
     looked up in them. A join on the key leaves the right rows.
 
-    The table has eight marks a node, so that about one in eight of the other rows passes, up to WORDS words (16 million nodes); with
-    more nodes more of the others pass, until at some 500 million nearly all do. Results don't depend on it."""
-    words = 1 << max(10, min(WORDS.bit_length() - 1, (nodes.count() // 8).bit_length()))
+    The table has `marks` marks a node, so that about one in `marks` of the other rows passes, up to WORDS words (two million nodes at
+    32 marks); with more nodes more of the others pass, one in four at 20 million and nearly all at 300 million. Results don't
+    depend on it."""
+    words = 1 << max(10, min(WORDS.bit_length() - 1, (nodes.count() * marks // 64).bit_length()))
     at, mark = (lambda c: F.expr(f"pmod(shiftright(xxhash64({c}), 6), {words}L)")), (lambda c: F.expr(f"shiftleft(1L, int(xxhash64({c}) & 63))"))
-    marks = nodes.select(at(column).alias("_at"), mark(column).alias("_mark")).groupBy("_at").agg(F.bit_or("_mark").alias("_marks"))
-    return df.join(F.broadcast(marks), at(key) == F.col("_at")).where(F.col("_marks").bitwiseAND(mark(key)) != 0).select(*df.columns)
+    table = nodes.select(at(column).alias("_at"), mark(column).alias("_mark")).groupBy("_at").agg(F.bit_or("_mark").alias("_marks"))
+    return df.join(F.broadcast(table), at(key) == F.col("_at")).where(F.col("_marks").bitwiseAND(mark(key)) != 0).select(*df.columns)
 
 
 #: Keys that a join splits number fewer than this.
