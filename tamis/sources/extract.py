@@ -1,4 +1,4 @@
-"""Texts of files, as functions of bytes: plain text, mail, and Office documents. PDF, images and OCR are given as back ends."""
+"""Texts of files, as functions of bytes: plain text, mail, Office documents, PDF, and pictures where an OCR back end is given."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from . import images
+from .pdf import pdf, pdf_metadata
+
 TEXT = ("txt", "csv", "json", "py", "md", "log")
 PICTURES = ("png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif", "webp")
 SUPPORTED = (*TEXT, "docx", "xlsx", "pptx", "eml", "pdf", *PICTURES)
@@ -65,9 +68,16 @@ def _paragraphs(root) -> list[str]:
 
 
 def docx(data: bytes) -> str:
+    """Paragraphs and cells of the body, then each section's header and footer, in the order of the sections."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = ["word/document.xml", *sorted(n for n in z.namelist() if re.fullmatch(r"word/(header|footer)\d*\.xml", n))]
-        return "\n".join(x for n in names for x in _paragraphs(_xml(z, n)) if x)
+        body = _xml(z, "word/document.xml")
+        rels = "word/_rels/document.xml.rels"
+        targets = {r.get("Id"): r.get("Target") for r in _xml(z, rels)} if rels in z.namelist() else {}
+        used = [next((v for k, v in e.attrib.items() if k.endswith("}id")), None) for e in body.iter() if _local(e) in ("headerReference", "footerReference")]
+        parts = [f"word/{targets[i]}" for i in dict.fromkeys(used) if i in targets]
+        others = sorted(n for n in z.namelist() if re.fullmatch(r"word/(header|footer)\d*\.xml", n) and n not in parts) if not used else []
+        roots = [body, *(_xml(z, n) for n in (*parts, *others) if n in z.namelist())]
+        return "\n".join(x for root in roots for x in _paragraphs(root) if x)
 
 
 def docx_metadata(data: bytes) -> dict[str, str]:
@@ -131,16 +141,38 @@ def eml(data: bytes) -> str:
 
 
 READERS = {"docx": docx, "xlsx": xlsx, "pptx": pptx, "eml": eml}
+METADATA = {"docx": docx_metadata, "pdf": pdf_metadata}
 
 
-def extract(ext: str, data: bytes, backends: dict | None = None) -> tuple[str | None, str, str | None]:
-    """(text, scan_status, failure_reason)."""
+def extract_all(ext: str, data: bytes, backends: dict | None = None) -> tuple[str | None, str, str | None, dict[str, str]]:
+    """(text, scan_status, failure_reason, metadata). backends may have a reader for any extension, and `ocr` (file, page or frame -> lines
+    with scores) and `faces` (file -> number). A picture needs `ocr`; a PDF asks it for pages with little text."""
+    backends, known = backends or {}, {}
     try:
+        if ext in backends:
+            return backends[ext](data), "scanned", None, known
         if ext in TEXT:
-            return data.decode("utf-8", "ignore"), "scanned", None
-        reader = READERS.get(ext) or (backends or {}).get(ext)
-        if reader is None:
+            return data.decode("utf-8", "ignore"), "scanned", None, known
+        if ext in METADATA:
+            try:
+                known = {k: v for k, v in METADATA[ext](data).items() if v}
+            except Exception:  # noqa: BLE001
+                known = {}  # metadata is beside the point
+        if ext == "pdf":
+            ocr = backends.get("ocr")
+            return pdf(data, (lambda d, k: images.of_lines(ocr(d, k))[0]) if ocr else None), "scanned", None, known
+        if ext in PICTURES:
+            if "ocr" not in backends:
+                raise ExtractionError("no back end for pictures")
+            text, known = images.image(data, backends["ocr"], backends.get("faces"))
+            return text, "scanned", None, known
+        if ext not in READERS:
             raise ExtractionError(f"no back end for {ext}")
-        return reader(data), "scanned", None
+        return READERS[ext](data), "scanned", None, known
     except Exception as e:  # noqa: BLE001
-        return None, "extraction_failed", f"{type(e).__name__}: {e}"
+        return None, "extraction_failed", f"{type(e).__name__}: {e}", known
+
+
+def extract(ext: str, data: bytes, backends: dict | None = None) -> tuple[str | None, str, str | None]:
+    """(text, scan_status, failure_reason)."""
+    return extract_all(ext, data, backends)[:3]

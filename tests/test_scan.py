@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tamis.operators import findings as fd
 from tamis.operators import verify
 from tamis.plans.scan import register_functions, scan_documents, scan_folder
 from tamis.sources.extract import html_text, looks_binary
+from tamis.sources import sinks
 from tamis.sources.sinks import write_reports
 from tamis.streaming.files import scan_stream, write_stream
 
@@ -66,19 +68,29 @@ def test_verdicts_only_lower(spark):
 def test_folder_scan(spark, tmp_path):
     (tmp_path / "a.txt").write_text("SIN: 757 036 793")
     (tmp_path / "b.txt").write_bytes(b"\0\1\2")
+    (tmp_path / "c.csv").write_text("no")
     (tmp_path / "c.xyz").write_text("no")
     (tmp_path / "bad.docx").write_text("no zip")
     (tmp_path / "m.eml").write_text("From: a@b.org\nSubject: x\nContent-Type: text/html\n\n<p>call (403) 555-1234<script>1</script></p>")
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:p><w:t>mail x@example.org</w:t></w:p></w:document>')
-    t = scan_folder(spark, str(tmp_path), ("regex", "keyword_context"))
+    t = scan_folder(spark, str(tmp_path), ("regex", "keyword_context"), ("txt", "docx", "eml"))
     assert {r["raw_type"] for r in t["findings"].collect()} >= {"sin", "phone", "email"}
     assert {r["reason"] for r in t["skipped_files"].collect()} == {"binary content", "filtered"}
     assert t["failed_files"].count() == 1
     s = t["scan_summary"].first()
     assert (s["scanned"], s["failed"], s["skipped"], s["high"]) == (3, 1, 2, 1)
-    paths = write_reports(t["results"], str(tmp_path / "out"))
-    assert "757 036 793" not in open(paths["html"]).read() and json.load(open(paths["json"]))["summary"]["high"] == 1
+    paths = write_reports(t, str(tmp_path / "out"), str(tmp_path), layers=("regex", "keyword_context"))
+    data, page = json.load(open(paths["json"])), open(paths["html"]).read()
+    assert "757 036 793" not in page and "757 036 793" not in json.dumps(data) and data["summary"]["high_risk"] == 1
+    assert (data["total_files"], data["skipped_files"], len(data["failed_files"]), len(data["files"])) == (6, 2, 1, 4) and data["files"][-1]["scan_status"] == "extraction_failed"
+    assert "PARTIAL SCAN" in open(paths["md"]).read() and "BadZipFile" in page and "binary content" in open(paths["md"]).read()
+    assert open(tmp_path / "out/latest.html").read() == page
+    again = write_reports(t["results"], str(tmp_path / "out"), str(tmp_path), masked=False)
+    assert again["json"] != paths["json"] and "757 036 793" in open(again["html"]).read()
+    assert sinks.stored(paths["json"]) == {"scanned": 3, "failed": 1, "skipped": 2, "high": 1, "medium": 2, "low": 0, "alarms": 0, "cancelled": False}
+    assert [r["score"] for r in sinks.preview(paths["json"])] == sorted((r["score"] for r in sinks.preview(paths["json"])), reverse=True)
+    assert [r["html_path"] for r in sinks.recent(str(tmp_path / "out"))][0] == os.path.realpath(again["html"]) and "error" in sinks.stored("/none")
 
 
 def test_streaming(spark, tmp_path):
