@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import dims
-from .queries import _PATH, TEXTS
+from .queries import _PATH, _SEVEN, SECRETS, TEXTS
 
 EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+1[-.\s]?)?(?:\(\d{3}\)[-.\s]?\d{3}[-.\s]?\d{4}|\b\d{3}[-.\s]\d{3}[-.\s]\d{4})\b"
@@ -101,7 +101,24 @@ ORACLE_SQL: dict[str, str] = {
     "compare_runs": f"select doc_id, 'NONE' as before_band, 'HIGH' as after_band from {PASSPORTS}",
     "eval_prf": f"""with n as (select (select count(*) from orders) as want, count(*) as got from {PASSPORTS})
       select b as bucket, want, got, got as hit, 1.0::double as precision, got / want as recall, 2 * (got / want) / (1 + got / want) as f1 from n, (values ('all'), ('passport_ca')) t(b)""",
+    "layer_ocr_recovery": finding("'reconstructed_sin'", "v", "0.55::double", "'identifier.reconstructed.sin'", "'MEDIUM'", f"(select doc_id, replace(regexp_extract(text, '[0-9O]{{9}}'), 'O', '0') as v, text from {rows('ocr')})", f"text like '%O%' and text ~ '.*Number: [0-9O]*O.*' and length(v) - length(replace(v, '0', '')) <= 6 and {SIN_OK}"),
+    "layer_mrz": f"""with t as (select o_orderkey as doc_id, 'AC' || {_SEVEN} as n, o_orderkey % 3 = 0 as wrong from orders)
+      select doc_id, case when wrong then 'mrz_unverified' else 'mrz_document_number' end as raw_type, n as value, case when wrong then 0.55 else 0.95 end::double as confidence,
+        case when wrong then 'identifier.government_unverified.mrz' else 'identifier.government.mrz_document_number' end as category, case when wrong then 'MEDIUM' else 'HIGH' end as risk_level from t
+      union all select doc_id, 'mrz_dob', '900101', 0.95, 'identifier.personal.mrz_dob', 'MEDIUM' from t
+      union all select doc_id, 'mrz_expiry', '300101', 0.95, 'identifier.government_low.mrz_expiry', 'LOW' from t""",
+    "layer_phone_bare": plain("phone", f"(select doc_id, regexp_extract(text, '[0-9]{{10}}') as v from {rows('bare')} where text like 'Phone%')"),
+    "layer_secret_types": " union all ".join(f"select o_orderkey as doc_id, '{kind}' as raw_type, {value} as value, {c}::double as confidence from orders where o_orderkey % 13 = {k}" for k, ((kind, _, value), c) in enumerate(zip(SECRETS, (0.95, 0.95, 0.95, 0.95, 0.95, 0.95, 0.95, 0.95, 0.85, 0.85, 0.80, 0.80, 0.90), strict=True))),
+    "reconcile_r4": f"""with t as (select doc_id, regexp_extract(text, '[0-9]{{3}} [0-9]{{3}} [0-9]{{3}}') as shown, replace(regexp_extract(text, '[0-9]{{3}} [0-9]{{3}} [0-9]{{3}}'), ' ', '') as v from {rows('r4')})
+      select doc_id, case when {SIN_OK} then 'sin' else 'health_card_nb' end as raw_type, case when {SIN_OK} then shown else v end as value, 0.6::double as confidence,
+        case when {SIN_OK} then 'identifier.financial.sin' else 'identifier.government.health_card_nb' end as category, 'HIGH' as risk_level from t""",
+    "reconcile_r6": finding("'health_card_ab'", "v", "0.6::double", "'identifier.government.health_card_ab'", "'HIGH'", f"(select doc_id, {NINE} as v from {rows('r6')})", "true"),
+    "mask_identifiers": f"""select doc_id, 'credit_card' as raw_type, '**** **** **** ' || right(v, 4) as masked from (select doc_id, regexp_extract(text, '[0-9]{{16}}') as v from {rows('card')}) where {luhn('v')}
+      union all select doc_id, 'sin_unverified', substr(v, 1, 3) || '*****' || right(v, 1) from (select doc_id, {NINE} as v from {rows('sin_bare')}) where {SIN_OK}""",
+    "score_high": f"""select doc_id, case when {SIN_OK} then 70 + floor(6.0 * 0.6375) else 0 end::int as score, case when {SIN_OK} then 'HIGH' else 'NONE' end as band, case when {SIN_OK} then 1 else 0 end::int as n_findings,
+        case when {SIN_OK} then 'identifier.financial.sin' end as top_category from (select doc_id, {NINE} as v from {rows('sin')})""",
     "ext_filter": f"select {_PATH} as path, count(*) as n from orders where o_orderkey % 4 in (1, 3) group by all",
-    "size_filter": "select page_id, 'too_large' as reason, round(strlen(html) / 1048576, 2) as size_mb from pages where strlen(html) > 2048",
+    "size_filter": "select page_id || '.txt' as path, 'too_large' as reason, round(strlen(html) / 1048576, 2) as size_mb, 1::bigint as count from pages where strlen(html) > 2048",
 }
+ORACLE_SQL["reconcile_r2"] = ORACLE_SQL["layer_health_card"].replace(TEXTS["health"], TEXTS["r2"])
 ORACLE_SQL["source_counts"] = ORACLE_SQL["source_counts"].replace("{secrets}", ORACLE_SQL["layer_secrets"])

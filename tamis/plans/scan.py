@@ -95,7 +95,7 @@ class Run:
         self.ticker: deque[dict] = deque(maxlen=40)
 
     def __enter__(self) -> Run:
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         self._thread = Thread(target=self._sample, daemon=True)
         self._thread.start()
         return self
@@ -103,7 +103,7 @@ class Run:
     def __exit__(self, *_) -> None:
         self._stop.set()
         self._thread.join()
-        self.spark.removeTag(self.tag)
+        self.spark.sparkContext.removeJobTag(self.tag)
 
     def _sample(self) -> None:
         last = sum(os.times()[:4])
@@ -135,7 +135,7 @@ class Run:
 
     def cancel(self) -> None:
         self.cancelled = True
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -20,10 +20,31 @@ from .operators import findings as fd
 from .operators import native_layers as nl
 from .plans.scan import scan_documents
 from .sources.extract import html_text
+from .sources.files import split_files
 
 AS_OF = date(2026, 8, 6)
 _NINE = "cast(100000000 + (o_orderkey * 7919) % 899999999 as string)"
 _TEN = "cast(9000000000 + (o_orderkey * 104729) % 999999999 as string)"
+_SEVEN = "lpad(cast(o_orderkey % 10000000 as string), 7, '0')"
+#: The check digit of AC and seven digits by weights 7, 3, 1, a wrong one for every third order.
+_CHECK = "cast((106 + case when o_orderkey % 3 = 0 then 1 else 0 end + " + " + ".join(f"{w} * cast(substr({_SEVEN}, {i}, 1) as int)" for i, w in zip(range(1, 8), (1, 7, 3, 1, 7, 3, 1), strict=True)) + ") % 10 as string)"
+_MD5 = "md5(cast(o_orderkey as string))"
+#: Credentials: type, text, value.
+SECRETS = (
+    ("aws_access_key", f"concat('key AKIA', upper(substr({_MD5}, 1, 16)), ' here')", f"concat('AKIA', upper(substr({_MD5}, 1, 16)))"),
+    ("aws_secret_key", f"concat('aws secret access key = ', {_MD5}, '12345678')", f"concat({_MD5}, '12345678')"),
+    ("github_token", f"concat('ghp_', {_MD5}, 'abcd;')", f"concat('ghp_', {_MD5}, 'abcd')"),
+    ("google_api_key", f"concat('x AIza', {_MD5}, 'abc.')", f"concat('AIza', {_MD5}, 'abc')"),
+    ("stripe_key", f"concat('sk_live_', {_MD5})", f"concat('sk_live_', {_MD5})"),
+    ("slack_token", f"concat('xoxb-', {_MD5}, ' is')", f"concat('xoxb-', {_MD5})"),
+    ("private_key", "'-----BEGIN RSA PRIVATE KEY----- and so on'", "'-----BEGIN RSA PRIVATE KEY-----'"),
+    ("jwt", f"concat('eyJ', {_MD5}, '.eyJ', {_MD5}, '.', {_MD5}, ' end')", f"concat('eyJ', {_MD5}, '.eyJ', {_MD5}, '.', {_MD5})"),
+    ("access_token", f"concat('access_token: \"', {_MD5}, '\"')", _MD5),
+    ("api_key", f"concat('api-key = \"', {_MD5}, '\"')", _MD5),
+    ("secret", f"concat('client_secret = \"', {_MD5}, '\"')", _MD5),
+    ("password", f"concat('password = \"', {_MD5}, '\"')", _MD5),
+    ("uri_password", f"concat('db://user:', {_MD5}, '@host')", _MD5),
+)
 TEXTS = {
     "sin": f"concat('Employee SIN: ', {_NINE}, ' is on file')",
     "sin_bare": f"concat('Reference ', {_NINE}, ' was received')",
@@ -38,6 +59,12 @@ TEXTS = {
     "postal": "concat('Postal code T', cast(o_orderkey % 10 as string), 'X 1V', cast((o_orderkey * 3) % 10 as string), ' given')",
     "dob": "concat('DOB: ', cast(o_orderdate as string), ' of the applicant')",
     "both": f"concat('SIN and passport no: ', {_NINE})",
+    "r2": f"concat('PHN ', {_TEN}, ' call ', substr({_TEN}, 1, 3), '-', substr({_TEN}, 4, 3), '-', substr({_TEN}, 7, 4))",
+    "r4": f"concat('SIN and New Brunswick no ', substr({_NINE}, 1, 3), ' ', substr({_NINE}, 4, 3), ' ', substr({_NINE}, 7, 3))",
+    "r6": f"concat('Alberta driver''s licence and health card ', {_NINE})",
+    "bare": f"concat(case when o_orderkey % 2 = 0 then 'Phone: ' else 'Parcel ' end, {_TEN})",
+    "mrz": f"concat('P<CANSAMPLE<<SYNTHETIC', repeat('<', 22), chr(10), 'AC', {_SEVEN}, {_CHECK}, 'CAN9001011F3001019', repeat('<', 14), '04')",
+    "secrets": f"case o_orderkey % 13 {' '.join(f'when {k} then {text}' for k, (_, text, _) in enumerate(SECRETS))} end",
     "ocr": f"concat('Social Insurance Number: ', replace({_NINE}, '0', 'O'))",
 }
 
@@ -160,13 +187,26 @@ def eval_prf(spark, sf):
 
 
 def ext_filter(spark, sf):
-    files = orders(spark, sf).select(F.expr(_PATH).alias("path"))
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("txt", "pdf")).groupBy("path").agg(F.count("*").alias("n"))
+    files = orders(spark, sf).select(F.expr(_PATH).alias("path"), F.lit(1).cast("long").alias("length"), F.lit(0.0).alias("size_mb"), F.lit(None).cast("binary").alias("content"))
+    kept, _ = split_files(files.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))), ("txt", "pdf"))
+    return kept.groupBy("path").agg(F.count("*").alias("n"))
 
 
 def size_filter(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("bytes", F.octet_length("html"))
-    return pages.where("bytes > 2048").select("page_id", F.lit("too_large").alias("reason"), F.round(F.col("bytes") / 1048576, 2).alias("size_mb"))
+    size = F.octet_length("html").cast("long")
+    pages = table(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("txt").alias("ext"), size.alias("length"), F.round(size / 1048576, 2).alias("size_mb"), F.col("html").cast("binary").alias("content"))
+    _, skipped = split_files(pages, max_mb=2048 / 1048576)
+    return skipped.select("path", "reason", "size_mb", "count")
+
+
+def mask_identifiers(spark, sf):
+    docs = derived(spark, sf, "card").unionAll(derived(spark, sf, "sin_bare"))
+    f = fd.explode_findings(scan_documents(docs, ("regex",)))
+    return f.select("doc_id", "raw_type", mask_value(F.col("value"), F.col("category")).alias("masked"))
+
+
+def score_high(spark, sf):
+    return fd.file_scores(scan_documents(derived(spark, sf, "sin"), ("regex", "keyword_context"), AS_OF)).select("doc_id", "score", "band", "n_findings", "top_category")
 
 
 def html_strip(spark, sf):
@@ -177,15 +217,6 @@ def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.pandas_udf(strip, "string")("html").alias("text"))
 
 
-def layer_mrz(spark, sf):
-    from .operators.zones import check_digit
-
-    number = F.udf(lambda k: f"AC{k % 10_000_000:07d}", "string")
-    line = F.udf(lambda n: f"{n}{check_digit(n)}CAN900101{check_digit('900101')}F300101{check_digit('300101')}{'<' * 14}04", "string")
-    docs = orders(spark, sf).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("P<CANSAMPLE<<SYNTHETIC" + "<" * 23 + "\n"), line(number("o_orderkey"))).alias("text"))
-    return found(docs, "mrz")
-
-
 def full_scan(spark, sf):
     layers = [x for x in dims.LAYERS if x != "gliner"]
     return fd.file_scores(scan_documents(documents(spark, sf), layers)).select("doc_id", "score", "band", "n_findings", "top_category")
@@ -211,7 +242,14 @@ QUERIES = {
     "layer_health_card": scan_of("health", "health_card"),
     "layer_drivers_license": scan_of("licence", "drivers_license"),
     "layer_ocr_recovery": scan_of("ocr", "ocr_recovery"),
-    "layer_mrz": layer_mrz,
+    "layer_mrz": scan_of("mrz", "mrz"),
+    "layer_phone_bare": layer(nl.phones, "bare"),
+    "layer_secret_types": layer(nl.secrets, "secrets"),
+    "reconcile_r2": scan_of("r2", "regex", "health_card"),
+    "reconcile_r4": scan_of("r4", "regex", "health_card"),
+    "reconcile_r6": scan_of("r6", "drivers_license", "health_card"),
+    "mask_identifiers": mask_identifiers,
+    "score_high": score_high,
     "merge_dedup": scan_of("dob", "regex", "keyword_context"),
     "reconcile_rules": scan_of("both", "regex", "passport"),
     "taxonomy_risk": taxonomy_risk,

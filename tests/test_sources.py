@@ -4,6 +4,7 @@ import json
 import os
 import struct
 import threading
+import time
 import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -198,6 +199,16 @@ def test_command_line_and_run(spark, tmp_path, capsys):
         run.follow(scan.scan_path(spark, str(tmp_path / "in"), layers=("regex", "keyword_context"))["file_scores"], told.append)
         assert set(run.progress()) == {"done", "running", "all"}
     assert told[0]["file"] == "a.txt" and told[0]["risk"] == "HIGH" and run.peaks["peak_rss_mb"] > 0 and len(run.ticker) == 1
+
+
+def test_cancel(spark):
+    def slow(batches):
+        for b in batches:
+            time.sleep(1)
+            yield b
+
     with scan.Run(spark, "long") as run:
-        run.cancel()
+        threading.Timer(3, run.cancel).start()
+        with pytest.raises(Exception, match="CANCELLED"):
+            spark.range(60, numPartitions=60).mapInPandas(slow, "id long").write.format("noop").mode("overwrite").save()
     assert run.cancelled
