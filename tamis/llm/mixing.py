@@ -3,13 +3,14 @@
 Word counts are summed per source, targets are found by water filling (no source may exceed `max_repeats` times its
 words), and each document is taken floor(rate) times plus one hash-seeded Bernoulli copy. The draw of a document is a hash
 of its id and the seed; its copy is taken when the draw lies below the source's threshold. Unconditioned, that threshold
-is the fraction of the rate. With calibrate=True it is the draw at which the words below it reach fraction x words, so
-that each document's probability is still the fraction, and the words of a source miss the target by half a document
-rather than by a sampling error.
+is the fraction of the rate, and copies are independent. With calibrate=True it is the draw at which the words below it reach fraction x words, so
+that the words of a source miss the target by half a document rather than by a sampling error. The threshold then depends on the draws
+themselves: over seeds, a document's probability is the fraction up to about its own share of its source's words, and the copies of one source
+aren't quite independent.
 
 Defined results: a null text has size 0; a null source is a source of its own and sorts last; sources without words get
-target 0 and rate 0; rows that repeat a doc_id share one draw, as do rows without one; an empty table gives an
-empty result. Columns that the operator adds replace input columns of the same name in `mix_plan`; `mix_emit` returns the
+target 0 and rate 0; rows that repeat a doc_id share one draw, as do rows without one; ties of draws are taken or left together; very long
+texts are counted whole; an empty table gives an empty result. Columns that the operator adds replace input columns of the same name in `mix_plan`; `mix_emit` returns the
 input columns alone.
 """
 

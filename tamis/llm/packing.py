@@ -8,8 +8,10 @@ Ranks come from counts per task, so that a length that a third of all pieces sha
 Packing a bin: fill greedily with the longest piece that fits; then try to replace the bin's smallest document by two
 unpacked ones that fit its gap more tightly. A bin pattern is repeated as often as the counts allow.
 
-Defined results: null and empty texts are the end token alone; rows that repeat are packed each; an empty table packs to
-nothing. Pieces that are as long as the capacity are sequences of their own.
+Defined results: null and empty texts are the end token alone; rows that repeat, or lack a doc_id, are packed each; an empty table packs to
+nothing; ties of length go by task and place within it, so that a rerun over the same files gives the same places; columns beyond doc_id and
+text aren't looked at. Very long texts are tokenized whole and cut into pieces; pieces that are as long as the capacity are sequences of
+their own.
 """
 
 from __future__ import annotations

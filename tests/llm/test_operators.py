@@ -792,3 +792,10 @@ def test_licences_are_found_in_edited_notices():
         for notice in some:
             assert rules.match("\n".join(notice))[0][0] == licence, (licence, notice)
     assert [m[0] for m in rules.match("// SPDX-License-Identifier: LGPL-3.0-or-later\n#include <x>")] == ["LGPL-3.0"]
+
+
+def test_bare_draws_follow_the_fraction(spark):
+    big = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("w " * 9).alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
+    for r in mixing.mix_plan(big, calibrate=False).groupBy("source").agg(F.first("target").alias("t"), F.first("source_size").alias("n"), F.avg("copies").alias("c"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect():
+        rate = r["t"] / r["n"]
+        assert abs(r["c"] - rate) < 4 * math.sqrt(0.25 / 1500) + 1e-9 and {r["low"], r["high"]} <= {math.floor(rate), math.floor(rate) + 1}
