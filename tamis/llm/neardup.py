@@ -2,8 +2,9 @@
 
 1. One pass over the texts gives each document its set's size, a fingerprint of the whole set, and a sketch.
 2. Documents with equal sets are one class, named by the smallest doc_id. Later steps work on classes.
-3. Classes that agree in a band are candidates. In each bucket all are compared with the bucket's smallest member, which
-   joins most of a large group with as many comparisons as it has members. Such a pair is dropped when its sizes or sketches
+3. Classes that agree in a band are candidates. In each bucket all are compared with one member, the one with the most company in all its
+   buckets (of a text and its altered copies, that is mostly the text), which joins most of a large group with as many comparisons as it has
+   members, whatever the order of ids. Such a pair is dropped when its sizes or sketches
    rule the threshold out (by eight standard deviations), and else confirmed on full sets.
 4. After components are known, members of buckets that still hold several components are compared across components. Two
    sets at the threshold share a shingle among each one's rarest fifth or so (in any order that all sets use, here rarest
@@ -174,14 +175,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     classes = materialise(sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("node")), "near-classes")
     named = materialise(classes.select("node").where("node is not null").distinct(), "near-named")
 
-    # a bucket's smallest member is always the name of its class; copies that pass the sieve go when few rows are left
+    # copies that pass the sieve beside the names of their classes go when few rows are left
     keyed = sieved(sets.where("n > 0").select(F.col("doc_id").alias("node"), "bands"), "node", named, marks=8).select(F.explode("bands").alias("key"), "node")
-    hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "near-hubs")
-    sizes = hubs.select("key", F.col("members").alias("n"))
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
     # only rows of buckets with company go on; an inner join, since the optimiser moves a semi-join below the sieve
-    buckets = met(sieved(keyed, "key", hubs, "key", marks=8), hubs, "key", NARROW_PART, sizes).join(named, "node")
-    buckets = materialise(buckets, "near-buckets")
-    first = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    buckets = met(sieved(keyed, "key", sizes, "key", marks=8), sizes, "key", NARROW_PART, sizes).join(named, "node")
+    # a class's weight is the company that it has in all its buckets, of which there are `bands` at the most
+    known = buckets.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("all"), F.sum("n").alias("weight"))
+    buckets = materialise(known.select("node", "weight", F.explode("all").alias("one")).select("one.key", "node", "weight", F.col("one.n").alias("members")), "near-buckets")
+    hubs = buckets.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    first = met(buckets, hubs, "key", NARROW_PART, sizes).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = materialise(likely(materialise(first, "near-first"), sets, percent, bands * rows), "near-likely")
     renamed = lambda sets: sets.withColumnRenamed("shingles", "s")
     links = confirmed(first, lambda nodes: renamed(sets_of(nodes, docs, width)), percent)
