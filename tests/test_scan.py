@@ -113,3 +113,11 @@ def test_evaluate(spark):
     got = spark.createDataFrame([(1, "a"), (4, "b")], "k int, t string")
     rows = {r["bucket"]: (r["want"], r["got"], r["hit"]) for r in fd.evaluate(want, got, ["k", "t"], "t").collect()}
     assert rows == {"a": (2, 1, 1), "b": (1, 1, 0), "all": (3, 2, 1)}
+
+
+def test_compare_runs_broadcasts_nothing(spark):
+    # rows of few bytes by the optimiser's estimate
+    runs = [spark.range(1, 4).select(F.col("id").alias("doc_id"), F.expr(band).alias("band")) for band in ("if(id = 1, 'NONE', 'LOW')", "if(id = 1, 'HIGH', 'LOW')")]
+    out = fd.compare_runs(*runs)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.collect() == [(1, "NONE", "HIGH")]
